@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, quality_classifier, quality_rules, toxicity
+from . import language, near_dup, packing, quality_classifier, quality_rules, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +35,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.run(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.run(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_quality_rules, op5_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_quality_rules, op5_toxicity, op7_ngram_jaccard_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
