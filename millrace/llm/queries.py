@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, near_dup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import decontaminate, language, near_dup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.run(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_quality_rules, op4_suffix_array_dedup, op5_toxicity, op7_ngram_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_quality_rules, op4_suffix_array_dedup, op5_toxicity, op6_decontamination, op7_ngram_jaccard_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
