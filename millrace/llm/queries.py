@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, near_dup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from . import decontaminate, language, licenses, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,13 +47,21 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.run(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.run(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.run(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.run(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_quality_rules, op4_suffix_array_dedup, op5_toxicity, op6_decontamination, op7_ngram_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_quality_rules, op4_suffix_array_dedup, op5_toxicity, op6_decontamination, op7_ngram_jaccard_join, op8_pii, op9_license_scan, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_scan": licenses.duckdb_sql()}
