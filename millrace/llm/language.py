@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .common import documents, fold, hashed_below
+from .common import arrow_batches, documents, fold, hashed_below
 
 TOP = 400
 ORDERS = (1, 2, 3, 4)
@@ -153,6 +153,20 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *keep: str) -> Da
     return slim.mapInArrow(score, schema)
 
 
+def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = REJECT_BELOW) -> DataFrame:
+    """The rows of ``docs`` in a recognised language: neither ``und`` nor scored below ``least``."""
+    table = profile_table(profiles)
+    arrow_batches(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = textkit.buffers(b.column("text"))
+            got = [classify(data[off[i] : off[i + 1]], table) for i in range(b.num_rows)]
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def run(docs: DataFrame) -> DataFrame:
     """The query's digest: held-out flag, predicted language and score of every document."""
     profiles = learn(docs, fold(4) != 2)
