@@ -27,16 +27,18 @@ from . import textkit
 from .common import documents, fold
 from .quality_classifier import labelled
 
-BUCKETS = 1 << 16
-DIM = 8
+BUCKETS = 1 << 18
+DIM = 4
 #: words of a training passage
-PASSAGE = 100
+PASSAGE = 40
 #: words of the passages whose worst average is read, beside the whole text's average
 WINDOWS = (12, 40)
-FIT_ROWS = 3000
-EPOCHS = 14
-RATE = 0.5
+FIT_ROWS = 6000
+EPOCHS = 30
+RATE = 1.0
 THRESHOLD = 0.7
+#: how much more a toxic document weighs when the score is calibrated; they are the few
+TOXIC_WEIGHT = 3.0
 NGRAMS = (3, 4, 5)
 
 
@@ -62,7 +64,7 @@ def subwords(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray
     own.append(np.arange(len(s)))
     k, o = np.concatenate(keys), np.concatenate(own)
     order = np.argsort(o, kind="stable")
-    return (k[order] >> np.uint64(48)).astype(np.int64), o[order]
+    return (k[order] % np.uint64(BUCKETS)).astype(np.int64), o[order]
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,11 +171,12 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     n1, n0 = (y > 0).sum(), (y < 0).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     w = np.zeros(z.shape[1])
+    weight = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     ridge = np.array([0.3] * x.shape[1] + [1e-6])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - t) + ridge * w
-        h = (z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ z + np.diag(ridge)
+        g = z.T @ (weight * (p - t)) + ridge * w
+        h = (z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z + np.diag(ridge)
         w = w - 0.7 * np.linalg.solve(h, g)
         w[:-1] = np.maximum(w[:-1], 0)
     return w[:-1] / scale, float(w[-1])
