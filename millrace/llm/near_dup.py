@@ -9,9 +9,10 @@ T = ceil(p (|x| + |y|) / (100 + p)) shingles.
    ones are the *long lists*. Every set is ordered rare shingles first, long lists last, and only
    its first |x| - ceil(p |x| / 100) + 1 shingles are posted: two linked sets share one of those.
 3. Postings are dealt by shingle (long lists salted) and streamed in order, so no list is ever held.
-   In star rounds each list names a leader and pairs it with the members of other components only;
-   the last round pairs all members of different components, after the length and position filters
-   have dropped pairs that can't reach T. Copies of one text cost one pair each, not all pairs.
+   In star rounds each list names a leader and pairs it with the members of other components only,
+   so copies of one text cost a pair each, not all pairs. The last round counts, for members of
+   different components, the posted shingles they share: T less what lies beyond the longer prefix
+   must be among those, about half of them for sets of one size, so chance meetings fall away.
 4. Pairs are answered by T-occurrence: a leader's shingles are looked up in the inverted lists of a
    block of its members; short lists are merged by counting, members that could still reach T are
    probed in the long ones by binary search (DivideSkip).
@@ -39,13 +40,15 @@ PERCENT = 80
 WORDS = 5
 #: a task forgets shingle counts after so many shingles, keeping those seen LOCAL times or more
 CHUNK = 3_000_000
-LOCAL = 4
+LOCAL = 2
 #: long lists: at least LONG postings counted, and at most MAX_LONG of them are broadcast
-LONG = 32
+LONG = 16
 MAX_LONG = 100_000
 SALT = 64
 BLOCK = 256
 STAR_ROUNDS = 3
+#: a star pair is tried if its leader has met this share of the shingles needed; others wait for the last round
+STAR_SHARE = 0.25
 MAX_STEPS = 60
 
 
@@ -64,22 +67,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents (doc_id, cid, n) and, with a null doc_id, of recurring shingles (cid, n)."""
     held: list[np.ndarray] = []
     size = 0
+    known: set[int] = set()
 
     def recurring() -> pa.RecordBatch:
         k = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
         cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         n = np.diff(np.concatenate([cut, [len(k)]])) if len(k) else cut
         m = n >= LOCAL
-        return pa.RecordBatch.from_arrays([pa.array([False] * int(m.sum()), pa.bool_()), pa.nulls(int(m.sum()), pa.int64()), pa.array(k[cut[m]].view(np.int64)), pa.array(n[m].astype(np.int64))], names=["is_doc", "doc_id", "cid", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([False] * int(m.sum()), pa.bool_()), pa.nulls(int(m.sum()), pa.int64()), pa.nulls(int(m.sum()), pa.int64()), pa.array(k[cut[m]].view(np.int64)), pa.array(n[m].astype(np.int64))], names=["is_doc", "doc_id", "text_key", "cid", "n"])
 
     for b in batches:
         sets = textkit.shingle_sets(*textkit.buffers(b.column("text")), WORDS)
-        yield pa.RecordBatch.from_arrays([pa.array([True] * b.num_rows, pa.bool_()), b.column("doc_id"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["is_doc", "doc_id", "cid", "n"])
-        held += sets
-        size += sum(map(len, sets))
+        keys = [set_key(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array([True] * b.num_rows, pa.bool_()), b.column("doc_id"), b.column("text_key"), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["is_doc", "doc_id", "text_key", "cid", "n"])
+        for k, x in zip(keys, sets, strict=True):
+            if k not in known:  # copies of one set are one class
+                known.add(k)
+                held.append(x)
+                size += len(x)
         if size >= CHUNK:
             yield recurring()
             held, size = [], 0
+            known.clear()
     yield recurring()
 
 
@@ -90,13 +99,13 @@ def _postings(frequent, percent: int):
         long = frequent.value
         done: set[int] = set()
         for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], []]
             for s in textkit.shingle_sets(*textkit.buffers(b.column("text")), WORDS):
                 n = len(s)
                 if not n or (cid := set_key(s)) in done:
                     continue
                 done.add(cid)
-                m = n - -(-percent * n // 100) + 1
+                m = prefix(n, percent)
                 if len(long):
                     at = np.minimum(np.searchsorted(long, s), len(long) - 1)
                     hot = long[at] == s
@@ -104,10 +113,10 @@ def _postings(frequent, percent: int):
                     flags = np.arange(m) >= n - int(hot.sum())
                 else:
                     order, flags = s[:m], np.zeros(m, bool)
-                for c, v in zip(cols, (order.view(np.int64), np.full(m, cid, np.int64), np.full(m, n, np.int32), np.arange(m, dtype=np.int32), flags), strict=True):
+                for c, v in zip(cols, (order.view(np.int64), np.full(m, cid, np.int64), np.full(m, n, np.int32), flags), strict=True):
                     c.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["shingle", "cid", "n", "pos", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["shingle", "cid", "n", "hot"])
 
     return post
 
@@ -143,7 +152,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Only the last row is carried from batch to batch, with whether it has been sent.
     """
     last, sent = None, False
-    names = ["shingle", "cid", "n", "pos", "hot"]
+    names = ["shingle", "cid", "n", "hot"]
     for b in batches:
         if not b.num_rows:
             continue
@@ -165,14 +174,37 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_take(c, out), names)
 
 
-PAIRS = "kind int, shingle long, cid long, comp long, n int, pos int, lead long"
-_PAIR_NAMES = ["kind", "shingle", "cid", "comp", "n", "pos", "lead"]
+def prefix(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """How many shingles a set of n posts."""
+    return n - -(-percent * n // 100) + 1
 
 
-def _reach(n: np.ndarray, pos: np.ndarray, n2: np.ndarray, pos2: np.ndarray, percent: int) -> np.ndarray:
-    """Length and position filters: could sets of n and n2 that first meet at these places link?"""
-    a, b = n.astype(np.int64), n2.astype(np.int64)
-    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(a - pos, b - pos2) >= need(a, b, percent))
+def _alike(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Length filter."""
+    a, b = n.astype(np.int64), m.astype(np.int64)
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def _least(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Postings that sets of n and m must share to link, see ``_met``."""
+    a, b = n.astype(np.int64), m.astype(np.int64)
+    return np.maximum(1, need(a, b, percent) - np.maximum(-(-percent * a // 100), -(-percent * b // 100)) + 1)
+
+
+def _met(percent: int, share: float = 1.0):
+    """Pairs (lead, cid, n, m, k) whose k shared postings are the given share of those a link needs.
+
+    All postings of both sets up to the end of one prefix are counted, so of the T shared shingles at
+    most the rest of that set is missing.
+    """
+    n, m = F.col("n").cast("long"), F.col("m").cast("long")
+    rest = lambda x: F.ceil(x * percent / 100) - 1
+    least = F.ceil((n + m) * percent / (100 + percent)) - F.greatest(rest(n), rest(m))
+    return F.col("k") >= F.greatest(F.lit(1), F.floor(least * share) - (0 if share < 1 else 1))
+
+
+PAIRS = "kind int, shingle long, cid long, comp long, n int, lack int, lead long, m int"
+_PAIR_NAMES = ["kind", "shingle", "cid", "comp", "n", "lack", "lead", "m"]
 
 
 def _stars(percent: int, leaders: bool):
@@ -190,15 +222,15 @@ def _stars(percent: int, leaders: bool):
             new = _starts(c, ["shingle", "salt"])
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             lead = _take(c, first)
-            ok = (c["comp"] != lead["comp"]) & _reach(c["n"], c["pos"], lead["n"], lead["pos"], percent)
+            ok = (c["comp"] != lead["comp"]) & _alike(c["n"], lead["n"], percent)
             pairs = _take(c, ok)
-            pairs |= {"kind": np.zeros(len(pairs["cid"]), np.int32), "lead": lead["cid"][ok]}
+            pairs |= {"kind": np.zeros(len(pairs["cid"]), np.int32), "lead": lead["cid"][ok], "m": lead["n"][ok]}
             if leaders:
                 sel = new & c["hot"]
                 if head is not None:
                     sel[0] = False
                 own = _take(c, sel)
-                pairs = _join({k: pairs[k] for k in _PAIR_NAMES}, {k: v for k, v in (own | {"kind": np.ones(len(own["cid"]), np.int32), "lead": own["cid"]}).items() if k in _PAIR_NAMES})
+                pairs = _join({k: pairs[k] for k in _PAIR_NAMES}, {k: v for k, v in (own | {"kind": np.ones(len(own["cid"]), np.int32), "lead": own["cid"], "m": own["n"]}).items() if k in _PAIR_NAMES})
             head = _take(c, slice(first[-1], first[-1] + 1))
             if len(pairs["cid"]):
                 yield _batch(pairs, _PAIR_NAMES)
@@ -207,20 +239,29 @@ def _stars(percent: int, leaders: bool):
 
 
 def _across(percent: int):
-    """Of list blocks (bounded): all pairs of different components that the filters leave."""
+    """Of list blocks (bounded): pairs of different components and like length, with how many lists they met in."""
 
     def pairs_of(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(_starts(c, ["shingle", "lo", "hi"]))
+        found: list[np.ndarray] = []
         for d in range(1, len(group)):
-            same = group[:-d] == group[d:]
-            if not same.any():
-                return
-            i = np.flatnonzero(same)
+            i = np.flatnonzero(group[:-d] == group[d:])
+            if not len(i):
+                break
             j = i + d
-            ok = (c["comp"][i] != c["comp"][j]) & ((c["lo"][i] == c["hi"][i]) | (c["side"][i] != c["side"][j])) & _reach(c["n"][i], c["pos"][i], c["n"][j], c["pos"][j], percent)
+            ok = (c["comp"][i] != c["comp"][j]) & ((c["lo"][i] == c["hi"][i]) | (c["side"][i] != c["side"][j])) & _alike(c["n"][i], c["n"][j], percent)
+            ok &= _least(c["n"][i], c["n"][j], percent) <= np.minimum(c["most"][i], c["most"][j])
             if ok.any():
-                x, y = c["cid"][i[ok]], c["cid"][j[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["lead", "cid"])
+                i, j = i[ok], j[ok]
+                swap = c["cid"][i] > c["cid"][j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                found.append(np.stack([c["cid"][i], c["cid"][j], c["n"][j].astype(np.int64), c["n"][i].astype(np.int64)]))
+        if found:
+            f = np.concatenate(found, 1)
+            f = f[:, np.lexsort((f[1], f[0]))]
+            new = np.flatnonzero(_starts({"a": f[0], "b": f[1]}, ["a", "b"]))
+            k = np.diff(np.append(new, f.shape[1]))
+            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in f[:, new]], pa.array(k.astype(np.int64))], names=["lead", "cid", "n", "m", "k"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -332,18 +373,21 @@ def _propagate(links: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(labels.join(moved.withColumnRenamed("was", "comp"), "comp", "left").select("cid", F.coalesce("now", "comp").alias("comp")), "nd-comp")
 
 
-def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
+def components(docs: DataFrame, percent: int = PERCENT, *keep: str) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row, and with "text_key" a hash of its text."""
     docs = documents(docs)
     spark = docs.sparkSession
-    seen = materialize(docs.mapInArrow(_sets, "is_doc boolean, doc_id long, cid long, n long"), "nd-sets")
+    seen = materialize(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sets, "is_doc boolean, doc_id long, text_key long, cid long, n long"), "nd-sets")
     sets = seen.where("is_doc")
     frequent = seen.where("NOT is_doc").groupBy("cid").agg(F.sum("n").alias("n")).where(F.col("n") >= LONG).orderBy(F.desc("n"), "cid").limit(MAX_LONG)
     long = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in frequent.select("cid").collect()], np.int64).view(np.uint64)))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("cid"), F.lit(SALT))).otherwise(F.lit(0)).cast("int")
-    posted = docs.mapInArrow(_postings(long, percent), "shingle long, cid long, n int, pos int, hot boolean").withColumn("salt", salt)
-    shared = posted.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "cid").mapInArrow(_shared, "shingle long, cid long, n int, pos int, hot boolean")
-    shared = materialize(shared, "nd-shared")
+    posted = docs.mapInArrow(_postings(long, percent), "shingle long, cid long, n int, hot boolean").withColumn("salt", salt)
+    shared = posted.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "cid").mapInArrow(_shared, "shingle long, cid long, n int, hot boolean")
+    shared = materialize(shared, "nd-lists")
+    # how much of a class's prefix nobody else has: a copy without edits lacks least and leads first
+    own = shared.groupBy("cid").agg(F.max("n").alias("own_n"), F.count(F.lit(1)).alias("k")).select("cid", F.floor(100 - 100 * F.col("k") / (F.col("own_n") - F.ceil(F.col("own_n") * percent / 100) + 1)).cast("int").alias("lack"))
+    shared = materialize(shared.join(own, "cid"), "nd-shared")
 
     classes = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     touched = shared.select("cid").distinct()
@@ -353,10 +397,12 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = materialize(touched.withColumn("comp", F.col("cid")), "nd-start")
     for turn in range(STAR_ROUNDS):
         rows = shared.join(labels, "cid").withColumns({"salt": salt, "order": F.xxhash64("cid", F.lit(turn))})
-        out = materialize(rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "order").mapInArrow(_stars(percent, True), PAIRS), "nd-stars")
-        heads = out.where("kind = 1").select("shingle", "cid", "comp", "n", "pos", F.lit(True).alias("hot"), F.lit(0).alias("salt"), F.xxhash64("cid", F.lit(turn)).alias("order"))
-        more = heads.repartition("shingle").sortWithinPartitions("shingle", "order").mapInArrow(_stars(percent, False), PAIRS)
-        pairs = materialize(out.where("kind = 0").unionByName(more).select("lead", "cid").distinct(), "nd-pairs")
+        order = ["lack", "order"] if turn % 2 == 0 else ["order"]
+        out = materialize(rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", *order).mapInArrow(_stars(percent, True), PAIRS), "nd-stars")
+        heads = out.where("kind = 1").select("shingle", "cid", "comp", "n", "lack", F.lit(True).alias("hot"), F.lit(0).alias("salt"), F.xxhash64("cid", F.lit(turn)).alias("order"))
+        more = heads.repartition("shingle").sortWithinPartitions("shingle", *order).mapInArrow(_stars(percent, False), PAIRS)
+        tried = out.where("kind = 0").unionByName(more).groupBy("lead", "cid").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count(F.lit(1)).alias("k"))
+        pairs = materialize(tried.where(_met(percent, STAR_SHARE)).select("lead", "cid"), "nd-pairs")
         links = materialize(_links(pairs, texts, percent), "nd-links")
         before = labels
         labels = _propagate(links, labels)
@@ -365,16 +411,19 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = shared.join(labels, "cid")
     mixed = lists.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("k")).where("a != b").select("shingle", F.ceil(F.col("k") / (4 * BLOCK)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    rows = lists.join(mixed, "shingle").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("shingle", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("side"), "cid", "comp", "n", "pos")
-    left = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi").mapInArrow(_across(percent), "lead long, cid long").distinct()
+    met = lists.join(mixed, "shingle")
+    most = met.groupBy("cid").agg(F.count(F.lit(1)).cast("int").alias("most"))  # lists in which a class can meet another component at all
+    rows = met.join(most, "cid").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("shingle", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("side"), "cid", "comp", "n", "most")
+    left = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi").mapInArrow(_across(percent), "lead long, cid long, n long, m long, k long")
+    left = left.groupBy("lead", "cid").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("k").alias("k")).where(_met(percent)).select("lead", "cid")
     links = materialize(_links(materialize(left, "nd-rest"), texts, percent), "nd-links")
     labels = _propagate(links, labels)
     root = classes.join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("comp"))
     first = root.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = materialize(root.join(first, "comp").select("cid", "component_id"), "nd-named")
     out = sets.join(named, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), *keep)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,9 +433,16 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest."""
-    keep = components(docs, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One row of each component: that with its smallest id. Rows of one id and text count as one document;
+    of different texts under the smallest id the one with the smaller hash stays."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = components(slim, percent, "text_key")
+    best = found.where("doc_id = component_id OR doc_id IS NULL").groupBy("component_id", "doc_id").agg(F.min("text_key").alias("text_key"), F.min("n_shingles").alias("least"))
+    empty = found.where("n_shingles = 0").select("doc_id", "text_key")
+    keep = best.where("least > 0").select("doc_id", "text_key").unionByName(empty).distinct().withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    rows = docs.withColumn("__text_key", F.xxhash64(F.col("text").cast("string")))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    return rows.join(keep, on, "left_semi").dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
 
 
 def run(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
