@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: texts may hold 100 kB each, so batches stay small.
 ARROW_ROWS = "512"
+_scratch: set[str] = set()
 
 
 def workdir(spark: SparkSession) -> str:
@@ -31,10 +34,25 @@ def workdir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is removed when the driver ends."""
+    path = f"{workdir(spark)}/millrace-{spark.sparkContext.applicationId}"
+    if path not in _scratch:
+        _scratch.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already, and with it the way to the folder
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the copy survives lost executors."""
     spark = df.sparkSession
-    path = f"{workdir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing refers to any more
