@@ -36,6 +36,8 @@ WINDOWS = (12, 40)
 FIT_ROWS = 6000
 EPOCHS = 30
 RATE = 1.0
+#: descent steps an epoch has at least, so that few rows are learned as well as many
+STEPS = 24
 THRESHOLD = 0.7
 #: how much more a toxic document weighs when the score is calibrated; they are the few
 TOXIC_WEIGHT = 3.0
@@ -155,7 +157,7 @@ def fit(texts: pa.Array, y: np.ndarray) -> dict:
         grid = st[:, None] + np.arange(PASSAGE)
         mask = grid < cut[who + 1][:, None]
         mat = word[np.minimum(grid, len(word) - 1)]
-        for part in np.array_split(rng.permutation(len(st)), max(1, len(st) // 400)):
+        for part in np.array_split(rng.permutation(len(st)), max(min(STEPS, len(st)), len(st) // 400)):
             net.step(mat[part], mask[part], y[who[part]], np.ones(len(part)), sub, sub_cut)
     t = net.direction()
     x = averages(word_scores(t, sub, sub_cut)[word], cut)
