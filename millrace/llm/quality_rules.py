@@ -9,8 +9,11 @@ depends on GAMMA and the range, not on the rows. It is built and merged by ordin
 aggregation, so a source that holds a third of the rows is summed before any shuffle.
 
 A (language, source) cell with fewer than ``min_cell`` documents borrows its language's merged
-sketch, and that one the corpus sketch. Thresholds come from each sketch's quartiles: a document
-fails when a measure lies above ``q3 + FENCE * (q3 - q1)`` of its cell by more than a slack.
+sketch, and that one the corpus sketch. Thresholds come from the sketch alone: a document fails when
+the bucket of a measure lies beyond the fence of its cell. The fence of a share is
+``q3 + FENCE * (q3 - q1)``; where the quartiles share a bucket it is ``t + FENCE * (t - q3)`` with the
+tail quantile t = q90, so where nine documents in ten hold no symbol, any symbol is an outlier. Word
+length and length have a fence on either side, taken in the same way from the logarithms (the buckets).
 With no words (null or empty text included) a document fails the base rules.
 Rows repeated in the input are scored and returned one by one; null lang or source is a cell of
 its own; an empty table gives an empty result.
@@ -30,12 +33,14 @@ from pyspark.sql import types as T
 from . import textkit
 from .common import arrow_batches, materialize
 
-GAMMA = 1.05
+GAMMA = 1.01
 SCALE = 1000.0
 FENCE = 3.0
 MIN_CELL = 200
-#: measure -> slack above the fence, as a share of the words
-MEASURES = {"symbol_share": 0.05, "dup_line_share": 0.10, "repeat_share": 0.15}
+#: the quantile that stands for the spread where the quartiles share a bucket
+TAIL = 0.90
+SHARES = ("symbol_share", "dup_line_share", "repeat_share")
+MEASURES = (*SHARES, "word_length", "length")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 BLANK = " \t\n\x0b\x0c\r"
@@ -98,7 +103,7 @@ def measure_documents(docs: DataFrame) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     s = narrow.mapInArrow(_stats, STATS_SCHEMA)
     words = F.greatest(F.col("n_words"), F.lit(1))
-    return s.withColumns({"symbol_share": F.col("n_symbols") / words, "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / words})
+    return s.withColumns({"symbol_share": F.col("n_symbols") / words, "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / words, "word_length": F.col("word_chars") / words, "length": F.col("n_words").cast("double")})
 
 
 def bucket(x):
@@ -116,14 +121,23 @@ def merged(sketch: DataFrame, cell: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, cell: list[str]) -> DataFrame:
-    """Upper fence of each cell and measure, from the quartile buckets of its sketch."""
+    """Least and greatest bucket of each cell and measure that pass, from the quantile buckets of its sketch."""
     w = Window.partitionBy(*cell, "measure").orderBy("bucket")
     whole = Window.partitionBy(*cell, "measure")
-    value = (F.pow(F.lit(GAMMA), F.col("bucket")) - 1) / SCALE
-    run = sketch.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(whole)}).withColumn("value", value)
-    q = run.groupBy(*cell, "measure").agg(F.max("total").alias("docs"), *[F.min(F.when(F.col("upto") >= F.col("total") * p, F.col("value"))).alias(a) for a, p in (("q1", 0.25), ("q3", 0.75))])
-    slack = F.create_map(*[x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v))])
-    return q.select(*cell, "measure", "docs", (F.col("q3") + FENCE * (F.col("q3") - F.col("q1")) + slack[F.col("measure")]).alias("fence"))
+    run = sketch.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(whole)})
+    quantiles = (("t1", 1 - TAIL), ("q1", 0.25), ("q3", 0.75), ("t3", TAIL))
+    q = run.groupBy(*cell, "measure").agg(F.max("total").alias("docs"), *[F.min(F.when(F.col("upto") >= F.col("total") * p, F.col("bucket"))).alias(a) for a, p in quantiles])
+
+    def beyond(near, far, tail):
+        return F.when(F.col("q3") > F.col("q1"), near + FENCE * (near - far)).otherwise(tail + FENCE * (tail - near))
+
+    value = lambda c: (F.pow(F.lit(GAMMA), F.col(c)) - 1) / SCALE
+    # the least bucket that covers the fence; a fence on a bucket's border is that bucket, whatever the rounding
+    share = F.ceil(F.log(1 + SCALE * beyond(value("q3"), value("q1"), value("t3"))) / math.log(GAMMA) - 1e-6)
+    is_share = F.col("measure").isin(list(SHARES))
+    low = F.when(~is_share, beyond(F.col("q1"), F.col("q3"), F.col("t1")))
+    high = F.when(is_share, share).otherwise(beyond(F.col("q3"), F.col("q1"), F.col("t3")))
+    return q.select(*cell, "measure", "docs", F.struct(low.cast("double").alias("low"), high.cast("double").alias("high")).alias("fence"))
 
 
 def apply_rules(docs: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
@@ -143,5 +157,5 @@ def apply_rules(docs: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
     t = t.select(F.col("lang").alias("lang_t"), F.col("source").alias("source_t"), *[pick(m).alias(f"{m}_fence") for m in MEASURES])
     out = stats.join(t, F.col("lang").eqNullSafe(F.col("lang_t")) & F.col("source").eqNullSafe(F.col("source_t")), "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    failed = F.filter(F.array(*[F.when(F.col(m) > F.col(f"{m}_fence"), F.lit(m)) for m in MEASURES]), lambda x: x.isNotNull())
+    failed = F.filter(F.array(*[F.when((bucket(F.col(m)) > F.col(f"{m}_fence.high")) | (bucket(F.col(m)) < F.col(f"{m}_fence.low")), F.lit(m)) for m in MEASURES]), lambda x: x.isNotNull())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept"))

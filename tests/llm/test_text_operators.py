@@ -81,6 +81,19 @@ def test_rules_thresholds_adapt_and_merge(spark):
             break
 
 
+def test_rules_fences_follow_each_source(spark):
+    """Outliers of their own source below any fixed cutoff fail; the same values are usual elsewhere."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        t = prose(rng, rng.randint(90, 180))
+        rows += [(i, t, "en", "plain"), (1000 + i, t.replace(" ", " # ", 3), "en", "marked"), (2000 + i, t.replace(" ", "zz "), "en", "long words")]
+    rows += [(500, rows[0][1].replace(" ", " # ", 3), "en", "plain"), (501, rows[0][1] + " a" * 3, "en", "plain"), (502, rows[0][1].replace(" ", "zzzz "), "en", "plain"), (503, prose(rng, 50_000), "en", "plain")]
+    got = {r.doc_id: r.failed for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[500] == ["symbol_share"] and got[501] == [] and got[502] == ["word_length"] and "length" in got[503]
+    assert sum(bool(got[i + k]) for i in range(300) for k in (0, 1000, 2000)) <= 9
+
+
 def test_language_accuracy_und_and_ties(spark, docs, texts, empty):
     rng = random.Random(1)
     alphabets = {"aa": "the an er on re".split(), "bb": "schl ung keit der ach".split(), "cc": "ción os ar lla ñ".split()}
