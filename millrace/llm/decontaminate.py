@@ -40,6 +40,8 @@ MIN_PASSAGE = 64
 SEQUENCE = 3
 #: words that this share of the items holds are scored by bound first
 COMMON = 0.05
+#: live (passage, term) rows that are scored at once, a passage never cut
+PART = 100_000
 
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -161,7 +163,9 @@ class Index:
         # exact scores of the live (passage, block) pairs, from all of the passage's lists
         rows = np.flatnonzero(np.isin(passage, textkit.distinct(live // self.blocks)))
         found: list[tuple[int, int, float]] = []
-        for part in np.array_split(rows, max(1, len(rows) // 100_000)):
+        # parts are cut between passages only, so that every sum is over the whole passage
+        cuts = np.searchsorted(passage[rows], passage[rows[PART::PART]])
+        for part in np.split(rows, np.unique(cuts)):
             part = part[~self.common[term[part]]]
             if not len(part):
                 continue

@@ -281,6 +281,24 @@ def test_retrieval_equals_scoring_every_item():
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_retrieval_in_parts_cuts_no_passage(monkeypatch):
+    """Passages just over the threshold are found whatever the batch's size and the part's."""
+    rng = random.Random(8)
+    items = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(60)]  # no common words, so no bound lifts a part
+    index = decontaminate.Index(list(range(60)), items)
+    h, cut = decontaminate.hashed_words(pa.array([" ".join(x.split()[: rng.randint(20, 26)]) for x in items]))
+    passage, term, base = index.passages(h, cut)
+    once = index.retrieve(passage, term)
+    assert len(once) >= 50 and all(s < 0.8 for p, i, s in once if p == i)
+    times = 300_000 // len(passage) + 2
+    many = (np.arange(times)[:, None] * base[-1] + passage).ravel()
+    got = index.retrieve(many, np.tile(term, times))
+    assert {(p, i) for p, i, _ in got} == {(p + k * base[-1], i) for p, i, _ in once for k in range(times)}
+    for part in (1, 10, 50):
+        monkeypatch.setattr(decontaminate, "PART", part, raising=False)
+        assert index.retrieve(passage, term) == once
+
+
 def test_shards_agree_with_one_index(spark, monkeypatch):
     rng = random.Random(3)
     items = [(i, prose(rng, 30)) for i in range(25)]
