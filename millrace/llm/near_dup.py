@@ -374,7 +374,8 @@ def _propagate(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, percent: int = PERCENT, *keep: str) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row, and with "text_key" a hash of its text."""
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row; with "text_key" a hash of its text, with "comp"
+    its component's own key (null for empty sets), which needs no ids."""
     docs = documents(docs)
     spark = docs.sparkSession
     seen = materialize(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sets, "is_doc boolean, doc_id long, text_key long, cid long, n long"), "nd-sets")
@@ -389,10 +390,11 @@ def components(docs: DataFrame, percent: int = PERCENT, *keep: str) -> DataFrame
     own = shared.groupBy("cid").agg(F.max("n").alias("own_n"), F.count(F.lit(1)).alias("k")).select("cid", F.floor(100 - 100 * F.col("k") / (F.col("own_n") - F.ceil(F.col("own_n") * percent / 100) + 1)).cast("int").alias("lack"))
     shared = materialize(shared.join(own, "cid"), "nd-shared")
 
-    classes = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    # a class is read from the row of its smallest id, or of none; the text's hash tells rows of one id apart
+    classes = sets.where("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("row")).select("cid", "row.doc_id", "row.text_key")
     touched = shared.select("cid").distinct()
-    wanted = classes.join(touched, "cid").select("doc_id", F.col("cid").alias("want"))
-    texts = docs.join(wanted, "doc_id").mapInArrow(_keyed, "want long, cid long, text string").where("want = cid").select("cid", "text").dropDuplicates(["cid"])
+    wanted = classes.join(touched, "cid").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("cid").alias("want"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))).select("want", "text").mapInArrow(_keyed, "want long, cid long, text string").where("want = cid").select("cid", "text").dropDuplicates(["cid"])
     texts = materialize(texts, "nd-texts")
     labels = materialize(touched.withColumn("comp", F.col("cid")), "nd-start")
     for turn in range(STAR_ROUNDS):
@@ -421,7 +423,7 @@ def components(docs: DataFrame, percent: int = PERCENT, *keep: str) -> DataFrame
     labels = _propagate(links, labels)
     root = classes.join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("comp"))
     first = root.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(root.join(first, "comp").select("cid", "component_id"), "nd-named")
+    named = materialize(root.join(first, "comp").select("cid", "comp", "component_id"), "nd-named")
     out = sets.join(named, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), *keep)
 
@@ -433,13 +435,14 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each component: that with its smallest id. Rows of one id and text count as one document;
-    of different texts under the smallest id the one with the smaller hash stays."""
+    """One row of each component: that with its smallest id, of several texts under it the one with the smaller
+    hash; a null id comes last. Rows of one id (or of none) and text count as one document; unrelated texts under
+    one id all stay, as do empty ones."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = components(slim, percent, "text_key")
-    best = found.where("doc_id = component_id OR doc_id IS NULL").groupBy("component_id", "doc_id").agg(F.min("text_key").alias("text_key"), F.min("n_shingles").alias("least"))
+    found = components(slim, percent, "text_key", "comp")
+    best = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("row")).select("row.doc_id", "row.text_key")
     empty = found.where("n_shingles = 0").select("doc_id", "text_key")
-    keep = best.where("least > 0").select("doc_id", "text_key").unionByName(empty).distinct().withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    keep = best.unionByName(empty).distinct().withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
     rows = docs.withColumn("__text_key", F.xxhash64(F.col("text").cast("string")))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
     return rows.join(keep, on, "left_semi").dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)

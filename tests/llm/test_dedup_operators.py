@@ -53,6 +53,19 @@ def test_components_with_all_odd_cases(docs, texts, empty):
     assert near_dup.deduplicate(empty).count() == 0
 
 
+def test_survivors_with_null_and_repeated_ids(spark):
+    """Each component keeps one row, whatever its ids: none, one for unrelated texts, or one with an empty text too."""
+    rng = random.Random(12)
+    a, b, c, d, e, f = (prose(rng, 80) for _ in range(6))
+    near = " ".join(["edited", *a.split(" ")[1:]])
+    rows = [(None, a), (None, near), (None, b), (None, c), (None, c), (7, d), (7, e), (9, None), (9, f), (11, f), (12, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in near_dup.deduplicate(df).collect()), key=str)
+    first = [x for x in got if x[1] in (a, near)]
+    assert len(first) == 1 and first[0][0] is None
+    assert sorted([x for x in got if x not in first], key=str) == sorted([(None, c), (7, d), (7, e), (9, None), (9, f), (12, b)], key=str)
+
+
 def test_chains_borders_and_long_lists(spark, monkeypatch):
     """Chains of edits, sizes at the border of the threshold, and a text that a third of the rows edit."""
     monkeypatch.setattr(near_dup, "LONG", 3)
