@@ -50,13 +50,25 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the copy survives lost executors."""
+    """Write ``df`` to the shared folder and read it back; the copy survives lost executors.
+
+    ``scratch`` of the result is its folder, for ``discard``.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing refers to any more
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Remove what ``materialize`` wrote, once nothing that is still to run reads it."""
+    for df in written:
+        if df is not None:
+            _remove(df.sparkSession, df.scratch)
 
 
 def arrow_batches(spark: SparkSession) -> None:

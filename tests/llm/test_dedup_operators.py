@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from millrace.llm import near_dup, suffix_dedup
+from millrace.llm import common, near_dup, suffix_dedup
 from tests.llm.conftest import prose
 
 TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,6 +107,49 @@ def test_blocks_of_long_lists(spark, monkeypatch):
     check(spark, texts)
 
 
+def counted(monkeypatch):
+    """Rows of each table that the operator writes."""
+    rows = collections.defaultdict(int)
+    write = near_dup.materialize
+
+    def count(df, name):
+        out = write(df, name)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", count)
+    return rows
+
+
+@pytest.mark.parametrize("edits", [1, 9])
+def test_a_group_makes_rows_in_proportion(spark, monkeypatch, edits):
+    """Twice the members of a group, linked (1 edit) or not (9), make about twice the candidates, not four times."""
+    rows = counted(monkeypatch)
+    made = []
+    for k in (100, 200):
+        rng = random.Random(3)
+        base = [f"h{i}" for i in range(200)]
+        texts = [" ".join(base)]
+        for i in range(k):
+            w = list(base)
+            for e in range(edits):
+                w[rng.randrange(200)] = f"x{i}e{e}"
+            texts.append(" ".join(w))
+        rows.clear()
+        check(spark, texts)
+        made.append(rows["nd-met"] + rows["nd-stars"] + rows["nd-mixed"])
+    assert made[1] < 3 * made[0] + 50
+
+
+def test_scratch_is_removed(spark, docs):
+    """What is left is only what the result still reads."""
+    near_dup.run(docs).count()
+    spark_dir = common.scratch(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark_dir)
+    names = {s.getPath().getName().rsplit("-", 1)[0] for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
+    assert {n for n in names if n.startswith("nd-")} == {"nd-sets", "nd-named"}
+
+
 def test_divide_skip_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(200):
