@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-import queue
 import threading
 import urllib.request
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 from urllib.parse import parse_qs, urlparse
@@ -27,7 +26,7 @@ x.tasks.forEach(t=>{const q=document.createElement('span');q.className='t '+t.st
 go();setInterval(go,1000)</script>"""
 
 
-def wanted(event: dict, names: list[str] | None) -> bool:
+def wanted(event: Mapping, names: list[str] | None) -> bool:
     """Whether a filter of states and types lets an event through."""
     return not names or event.get("type") in names or event.get("state") in names
 
@@ -115,22 +114,20 @@ def _handler(tracker: Tracker, status: Any, pipe: Any, investigator: Any, hooks:
             return self._reply(200 if found is not None else 404, found)
 
         def _stream(self, names: list[str] | None) -> None:
-            events: queue.Queue[dict] = queue.Queue(10_000)
-            stop = tracker.subscribe(lambda e: events.put_nowait(e) if wanted(e, names) else None)
+            place = len(tracker.log)
             self.send_response(200)
             self.send_header("Content-Type", "text/event-stream")
             self.end_headers()
+            self.wfile.flush()
             try:
-                while True:
-                    try:
-                        self.wfile.write(f"data: {json.dumps(events.get(timeout=KEEPALIVE), default=str)}\n\n".encode())
-                    except queue.Empty:
+                for event in tracker.log.follow(place, KEEPALIVE):
+                    if event is None:
                         self.wfile.write(b": waiting\n\n")
+                    elif event["type"] != "stage" and wanted(event, names):
+                        self.wfile.write(f"data: {json.dumps(dict(event), default=str)}\n\n".encode())
                     self.wfile.flush()
             except OSError:
                 return
-            finally:
-                stop()
 
         def do_POST(self) -> None:
             path, q = self._query()

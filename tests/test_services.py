@@ -52,6 +52,30 @@ def test_events_in_order(spark, tmp_path):
     assert {"task", "stage_done", "run_done"} == {e["type"] for e in events} and events[-1]["type"] == "run_done"
 
 
+def test_views_of_the_log():
+    t = Tracker("r")
+    t.add_stage("two", ["one"])
+    seen = []
+    end = t.subscribe(seen.append)
+    t.subscribe(lambda e: 1 / 0)
+    t.set_state("one", "one/a", "queued")
+    t.set_state("one", "one/a", "running", attempt=2)
+    assert t.counts("one") == {"running": 1} and t.counts("two") == {} and t.counts("none") == {}
+    end()
+    end()
+    t.set_state("one", "one/a", "success")
+    assert [(e["state"], e.get("attempt")) for e in seen] == [("queued", None), ("running", 2)]
+    assert [(s["name"], s["deps"], s["counts"], s["tasks"]) for s in t.snapshot()["stages"]] == [("two", ["one"], {}, []), ("one", [], {"success": 1}, [{"key": "one/a", "state": "success"}])]
+    with pytest.raises(ValueError):
+        t.set_state("one", "one/a", "gone")
+    with pytest.raises(TypeError):
+        t.log.after(0)[0]["type"] = "changed"
+    for i in range(20_000):
+        t.set_state("one", f"one/{i}", "success")
+    late = t.log.follow(1, 0.1)
+    assert sum(next(late)["type"] == "task" for _ in range(20_003)) == 20_003 and next(late) is None, "a slow reader misses nothing"
+
+
 def test_server_state_webhook_stream_and_agent(spark, tmp_path):
     pipe = Pipeline("web", Config(root=str(tmp_path), max_redeliveries=0))
     src = pipe.source("s", chunks=[{"id": "a", "params": {}}, {"id": "b", "params": {}}])
@@ -114,6 +138,14 @@ def test_store_and_files(spark, tmp_path):
     (tmp_path / "root/a/c.part").write_bytes(b"x")
     assert s.list("a") == ["a/b.txt"] and s.exists("a/b.txt") and not s.exists("a/z") and s.get("a/b.txt") == b"1"
     assert open(s.get_file("a/b.txt"), "rb").read() == b"1"
+    other = Store(str(tmp_path / "other"), cache_dir=str(tmp_path / "cache"))
+    other.put("a/b.txt", b"2")
+    assert open(other.get_file("a/b.txt"), "rb").read() == b"2", "another root's object of the same name"
+    s.put("a/b.txt", b"333")
+    assert open(s.get_file("a/b.txt"), "rb").read() == b"333", "a changed object"
+    assert open(s.get_file("a/b.txt", str(tmp_path / "copy")), "rb").read() == b"333"
+    with pytest.raises(FileNotFoundError):
+        s.get_file("a/z")
     df = spark.range(10).withColumnRenamed("id", "v").coalesce(1)
     files.write_parquet(df, str(tmp_path / "p"), cap_rows=4)
     assert len(list((tmp_path / "p").glob("*.parquet"))) == 3
