@@ -10,13 +10,14 @@ from typing import Any
 from ..ckpt import Checkpoint
 from ..sources.store import Store
 from .chunks import Chunk
+from .parts import PartWriter
 
 
 class Context:
-    def __init__(self, config: Any, stage: str, chunk: Chunk, records: list[dict], store: Store) -> None:
+    def __init__(self, config: Any, stage: str, chunk: Chunk, records: list[dict], store: Store, out: PartWriter) -> None:
         self.config, self.stage, self.chunk, self.store = config, stage, chunk, store
         self._records = records
-        self.out: list[dict] = []
+        self.out = out
         self.outputs: list[str] = []
 
     @property
@@ -53,10 +54,8 @@ class Context:
         return self.store.get(key)
 
     def write(self, records) -> None:
-        """A record, a list of records or a pandas frame."""
-        if hasattr(records, "to_dict"):
-            records = records.to_dict("records")
-        self.out += [records] if isinstance(records, dict) else list(records)
+        """A record, any number of records, a pandas frame or an Arrow table; they are written out as they come."""
+        self.out.add(records)
 
     def write_bytes(self, name: str, data: bytes) -> str:
         self.outputs.append(self.store.put(f"{self.out_prefix}/{name}", data))

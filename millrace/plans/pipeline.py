@@ -23,6 +23,8 @@ class Config:
     failure_policy: str = "off"  # off, report or remediate
     failure_handler: Callable | None = None
     max_remediations: int = 2
+    #: jobs that may die before any chunk of a stage has finished
+    worker_failure_cap: int = 8
     vcpu: int = 2
     mem: int = 16384
     viz_host: str = "127.0.0.1"

@@ -1,10 +1,11 @@
 """Runs a pipeline: plan, resume, smoke gate, waves of chunks, remediation.
 
 A Python stage is one Spark job per wave: chunks are rows of a plan, their input is dealt to them by
-a shuffle, and the function's records and a status row come back as one envelope table, so a chunk
-that raises does not disturb the others. If a job dies altogether (an executor killed for memory),
-its chunks run again one job each, and only the guilty ones fail. Frame stages are DataFrame
-functions and fuse into whatever plan Catalyst makes of them.
+one shuffle as Arrow columns, and each chunk writes its records as typed Parquet parts and reports a
+status row, so a chunk that raises does not disturb the others. A chunk also leaves its status as a
+marker; if a job dies altogether (an executor killed for memory), what has finished counts and the
+rest is halved and run in parallel jobs until the guilty chunks stand alone. Frame stages are
+DataFrame functions and fuse into whatever plan Catalyst makes of them.
 
 Results are found by fingerprint (members, parameters, stage code, run arguments and the fingerprints
 read), so a changed input or function is never answered from an old run.
@@ -13,25 +14,33 @@ read), so a changed input or function is never answered from an old run.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import traceback as tb
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..agents import FailureEvent, LLMFailureAgent, Remediation, DiagnosticTools
+from ..agents import DiagnosticTools, FailureEvent, LLMFailureAgent, Remediation
 from ..monitor import Monitor
 from ..sources.store import Store
 from ..streaming.events import Tracker
 from .chunks import Chunk, fingerprint, heaviest_first, plan, plan_frame, split
 from .context import Context
+from .parts import CHUNK, PLACE, PartWriter, read_parts
 from .pipeline import Pipeline, Source, Stage
+from .queue import LeaseQueue, Task
 from .status import Status
 
-ENVELOPE = "_chunk_id string, _kind string, _payload string"
+REPORT = "_chunk_id string, _status string"
+LEASE = 60.0
 
 
 class StageFailed(RuntimeError):
@@ -42,22 +51,50 @@ class SmokeFailed(StageFailed):
     pass
 
 
-def _run_chunk(stage_fn: Callable, stage: str, config: object, store: Store, chunk: Chunk, records: Callable[[], list[dict]]) -> pd.DataFrame:
-    """The records of one chunk and its status row; never raises what the function raises."""
+class WorkersDying(StageFailed):
+    pass
+
+
+def _run_chunk(stage_fn: Callable, stage: str, config: object, store: Store, wave: str, schema: T.StructType | None, cap: int, chunk: Chunk, records: Callable[[], list[dict]]) -> dict:
+    """Runs one chunk and says how it went; never raises what the function raises."""
     monitor = Monitor().start()
-    rows: list[tuple[str, str, str]] = []
-    status: dict = {}
+    out = PartWriter(store, f"data/{stage}/{wave}", chunk.id, schema, cap)
     try:
-        ctx = Context(config, stage, chunk, records(), store)
+        ctx = Context(config, stage, chunk, records(), store, out)
         stage_fn(ctx)
-        rows = [(chunk.id, "data", json.dumps(r, default=str)) for r in ctx.out]
-        status = {"state": "success", "n_records": len(ctx.out), "outputs": ctx.outputs}
-    except Exception as e:  # noqa: BLE001 - the envelope carries whatever went wrong
-        rows = []
+        parts = out.close()
+        status = {"state": "success", "n_records": out.rows, "outputs": ctx.outputs, "parts": json.dumps(parts)}
+    except Exception as e:  # noqa: BLE001 - the status carries whatever went wrong
         status = {"state": "failed", "error": f"{type(e).__name__}: {e}", "traceback": tb.format_exc()}
     used = monitor.stop()
     status |= {k: used[k] for k in ("peak_mem_mb", "limit_mb", "wall_seconds")}
-    return pd.DataFrame([*rows, (chunk.id, "status", json.dumps(status))], columns=["_chunk_id", "_kind", "_payload"])
+    store.put_json(_marker(stage, wave, chunk.id), status)
+    return status
+
+
+def _marker(stage: str, wave: str, chunk_id: str) -> str:
+    return f"markers/{stage}/{wave}/{chunk_id}.json"
+
+
+def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, pa.Table]]:
+    """Of rows sorted by chunk, each chunk's plan row first: the chunks and their records."""
+    chunk, held, empty = None, [], None
+    for b in batches:
+        texts = b.column("_plan")
+        heads = [i for i in range(b.num_rows) if texts[i].is_valid]
+        data = b.select([n for n in b.schema.names if n not in ("_plan", CHUNK, "_at", PLACE)])
+        empty = data.slice(0, 0)
+        at = 0
+        for i in [*heads, b.num_rows]:
+            if i > at:
+                held.append(data.slice(at, i - at))
+            if i < b.num_rows:
+                if chunk is not None:
+                    yield chunk, pa.Table.from_batches(held or [empty])
+                chunk, held = Chunk.of(json.loads(texts[i].as_py())), []
+                at = i + 1
+    if chunk is not None:
+        yield chunk, pa.Table.from_batches(held or [empty])
 
 
 class Runner:
@@ -74,6 +111,7 @@ class Runner:
             self.tracker.subscribe(on_event)
         self.run_id = uuid.uuid4().hex[:12]
         self._plans: dict[str, list[Chunk]] = {}
+        self._finished = self._died = 0
 
     # planning
 
@@ -123,33 +161,33 @@ class Runner:
 
     # data
 
-    def _envelope(self, name: str) -> DataFrame | None:
-        """Envelope rows of the successful attempts of a stage's present plan."""
+    def _declared(self, stage: Stage) -> T.StructType | None:
+        return T._parse_datatype_string(stage.schema) if isinstance(stage.schema, str) else stage.schema
+
+    def _parts(self, name: str) -> list[dict]:
+        """What the successful attempts of a stage's present plan wrote."""
         latest = self.status.latest()
-        waves = [(c.id, r["wave"]) for c in self._plans[name] if (r := latest.get(f"{name}/{c.id}")) and r["state"] == "success"]
-        if not waves:
-            return None
-        good = self.spark.createDataFrame(waves, "_chunk_id string, _wave string")
-        paths = [self.store.uri(f"data/{name}/{w}") for w in sorted({w for _, w in waves})]
-        rows = None
-        for w, path in zip(sorted({w for _, w in waves}), paths, strict=True):
-            part = self.spark.read.schema(ENVELOPE).parquet(path).withColumn("_wave", F.lit(w))
-            rows = part if rows is None else rows.unionByName(part)
-        return rows.where("_kind = 'data'").join(good, ["_chunk_id", "_wave"])
+        rows = [latest.get(f"{name}/{c.id}") for c in self._plans[name]]
+        return [p for r in rows if r and r["state"] == "success" for p in json.loads(r.get("parts") or "[]")]
+
+    def _records(self, stage: Stage) -> DataFrame | None:
+        """A stage's rows with their chunk and place; None if there are none and no schema says what they would be."""
+        if stage.frame:
+            row = self.status.latest()[f"{stage.name}/all"]
+            return self.spark.read.parquet(self.store.uri(f"data/{stage.name}/{row['wave']}")).withColumns({CHUNK: F.lit("all"), PLACE: F.lit(0).cast("long")})
+        schema = self._declared(stage)
+        rows = read_parts(self.spark, self.store, self._parts(stage.name), schema)
+        if rows is None and schema is not None:
+            rows = self.spark.createDataFrame([], schema).withColumns({CHUNK: F.lit(None).cast("string"), PLACE: F.lit(None).cast("long")})
+        return rows
 
     def output(self, stage: Stage | str) -> DataFrame:
-        """A stage's result. Python stages without a declared schema get one inferred from their records."""
+        """A stage's result; that of a Python stage has each row's ``_chunk_id`` too."""
         st = self.pipe.stages[stage if isinstance(stage, str) else stage.name]
-        if st.frame:
-            row = self.status.latest()[f"{st.name}/all"]
-            return self.spark.read.parquet(self.store.uri(f"data/{st.name}/{row['wave']}"))
-        rows = self._envelope(st.name)
-        if st.schema is not None:
-            rows = rows if rows is not None else self.spark.createDataFrame([], ENVELOPE)
-            return rows.select("_chunk_id", F.from_json("_payload", st.schema).alias("r")).select("_chunk_id", "r.*")
+        rows = self._records(st)
         if rows is None:
             raise ValueError(f"stage {st.name!r} has no output and no schema")
-        return self.spark.read.json(rows.select("_payload").rdd.map(lambda r: r[0]))
+        return rows.drop(CHUNK, PLACE) if st.frame else rows.drop(PLACE)
 
     def _input_frame(self, up: Stage | Source) -> DataFrame:
         if not isinstance(up, Source):
@@ -158,57 +196,89 @@ class Runner:
             return up.frame(self.spark)
         raise ValueError(f"source {up.name!r} has no frame; give it one or read it from a Python stage")
 
-    def _wave(self, stage: Stage, chunks: list[Chunk]) -> tuple[str, dict[str, dict]]:
-        """One job over the chunks; the wave's name and each chunk's status."""
-        wave = uuid.uuid4().hex[:12]
-        plan_df = plan_frame(self.spark, chunks).select("_chunk_id", "chunk").repartition(max(1, min(len(chunks), self.spark.sparkContext.defaultParallelism * 4)), "_chunk_id")
-        fn, name, config, store = stage.fn, stage.name, self.config, Store(self.store.uri())
+    def _dealt(self, stage: Stage, chunks: list[Chunk]) -> DataFrame:
+        """The plan's rows, and behind each the records of its members in their order."""
+        rows = plan_frame(self.spark, chunks).select(CHUNK, F.col("chunk").alias("_plan"), F.lit(-1).alias("_at"), F.lit(-1).cast("long").alias(PLACE))
         up = stage.reads[0] if stage.reads else None
-        if up is None or isinstance(up, Source):
-            reader = up.reader if up else None
-
-            def each(batches):
-                for pdf in batches:
-                    for text in pdf["chunk"]:
-                        chunk = Chunk.of(json.loads(text))
-
-                        def read(chunk=chunk) -> list[dict]:
-                            if up is None:
-                                return []
-                            if reader is None:
-                                return [m.params for m in chunk.members]
-                            return [r for m in chunk.members for r in reader(config, m.params)]
-
-                        yield _run_chunk(fn, name, config, store, chunk, read)
-
-            out = plan_df.mapInPandas(each, ENVELOPE)
+        data = self._records(up) if isinstance(up, Stage) else None
+        if data is None:
+            return rows
+        own = [c for c in data.columns if c not in (CHUNK, PLACE)]
+        pairs = self.spark.createDataFrame([(m.id, c.id, i) for c in chunks for i, m in enumerate(c.members)], "_member string, _chunk_id string, _at int")
+        dealt = data.withColumnRenamed(CHUNK, "_member").join(pairs, "_member").select(CHUNK, F.lit(None).cast("string").alias("_plan"), "_at", PLACE, F.struct(*[F.col(f"`{c}`") for c in own]).alias("record"))
+        return rows.withColumn("record", F.lit(None).cast(dealt.schema["record"].dataType)).unionByName(dealt)
+
+    def _share(self, stage: Stage) -> tuple[ResourceProfile | None, int]:
+        """What a stage's tasks are given, and how many may run at once.
+
+        On a cluster a stage heavier than the rest gets a resource profile: larger executors where they can be
+        asked for, else more cores a task, so that fewer tasks share an executor's memory. On one machine
+        fewer of its chunks run at once.
+        """
+        sc, need = self.spark.sparkContext, stage.resources(self.config)
+        mem, vcpu = need["mem"] / self.config.mem, need["vcpu"] / self.config.vcpu
+        factor = max(1.0, mem, vcpu)
+        if factor == 1.0:
+            return None, sc.defaultParallelism * 4
+        if sc.master.startswith("local"):
+            return None, max(1, int(sc.defaultParallelism / factor))
+        build = ResourceProfileBuilder()
+        cpus = int(sc.getConf().get("spark.task.cpus", "1"))
+        if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+            build.require(ExecutorResourceRequests().memory(f"{need['mem']}m").cores(max(need["vcpu"], cpus)))
+            build.require(TaskResourceRequests().cpus(max(cpus, need["vcpu"] // self.config.vcpu)))
         else:
-            if up.frame:
-                rows = self.output(up).select(F.lit("all").alias("member"), F.to_json(F.struct("*")).alias("record"))
-            else:
-                rows = self._envelope(up.name)
-                rows = (rows if rows is not None else self.spark.createDataFrame([], ENVELOPE)).select(F.col("_chunk_id").alias("member"), F.col("_payload").alias("record"))
-            pairs = [(m.id, c.id, i) for c in chunks for i, m in enumerate(c.members)]
-            dealt = rows.join(F.broadcast(self.spark.createDataFrame(pairs, "member string, _chunk_id string, at int")) if len(pairs) < 100_000 else self.spark.createDataFrame(pairs, "member string, _chunk_id string, at int"), "member").select("_chunk_id", "at", "record")
-
-            def grouped(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-                chunk = Chunk.of(json.loads(left["chunk"].iloc[0]))
-                return _run_chunk(fn, name, config, store, chunk, lambda: [json.loads(x) for x in right.sort_values("at", kind="stable")["record"]])
-
-            out = plan_df.groupBy("_chunk_id").cogroup(dealt.groupBy("_chunk_id")).applyInPandas(grouped, ENVELOPE)
-        path = self.store.uri(f"data/{name}/{wave}")
-        out.write.option("maxRecordsPerFile", stage.cap_rows).parquet(path)
-        got = self.spark.read.schema(ENVELOPE).parquet(path).where("_kind = 'status'").collect()  # a row per chunk
-        return wave, {r["_chunk_id"]: json.loads(r["_payload"]) for r in got}
+            build.require(TaskResourceRequests().cpus(max(1, -(-int(cpus * factor * 100) // 100))))
+        return build.build, sc.defaultParallelism * 4
+
+    def _wave(self, stage: Stage, chunks: list[Chunk], wave: str) -> dict[str, dict]:
+        """One job over the chunks; each chunk's status."""
+        fn, name, config, store, cap = stage.fn, stage.name, self.config, Store(self.store.uri()), stage.cap_rows
+        schema, up = self._declared(stage), stage.reads[0] if stage.reads else None
+        reader = up.reader if isinstance(up, Source) else None
+        outside = isinstance(up, Source)
+        profile, most = self._share(stage)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, table in _chunks_of(batches):
+
+                def read(chunk=chunk, table=table) -> list[dict]:
+                    if not outside:
+                        return table.column("record").to_pylist() if "record" in table.column_names else []
+                    if reader is None:
+                        return [m.params for m in chunk.members]
+                    return [r for m in chunk.members for r in reader(config, m.params)]
+
+                status = _run_chunk(fn, name, config, store, wave, schema, cap, chunk, read)
+                yield pa.RecordBatch.from_pydict({CHUNK: [chunk.id], "_status": [json.dumps(status)]})
+
+        rows = self._dealt(stage, chunks).repartition(max(1, min(len(chunks), most)), CHUNK).sortWithinPartitions(CHUNK, "_at", PLACE)
+        got = rows.mapInArrow(each, REPORT, profile=profile).collect()  # a row per chunk
+        return {r[CHUNK]: json.loads(r["_status"]) for r in got}
 
     def _attempt(self, stage: Stage, chunks: list[Chunk]) -> list[tuple[Chunk, str, dict]]:
+        """Each chunk's wave and status; jobs that die are halved until only the guilty chunks have failed."""
+        wave = uuid.uuid4().hex[:12]
         try:
-            wave, got = self._wave(stage, chunks)
+            got = self._wave(stage, chunks, wave)
+            self._finished += sum(s["state"] == "success" for s in got.values())
             return [(c, wave, got[c.id]) for c in chunks]
         except Exception as e:  # noqa: BLE001 - the job died; find out whose fault it is
-            if len(chunks) == 1:
-                return [(chunks[0], "", {"state": "failed", "error": f"{type(e).__name__}: the task died", "traceback": str(e)[-4000:]})]
-            return [x for c in chunks for x in self._attempt(stage, [c])]
+            marks = {c.id: _marker(stage.name, wave, c.id) for c in chunks}
+            there = set(self.store.list(f"markers/{stage.name}/{wave}"))
+            ended = [(c, wave, self.store.get_json(marks[c.id])) for c in chunks if marks[c.id] in there]
+            left = [c for c in chunks if marks[c.id] not in there]
+            self._finished += sum(s["state"] == "success" for _, _, s in ended)
+            self._died += 1
+            if not self._finished and self._died >= self.config.worker_failure_cap:
+                self.tracker.emit({"type": "workers_dying", "stage": stage.name, "failed": self._died, "last": str(e)[-2000:], "ts": time.time()})
+                raise WorkersDying(f"{stage.name}: {self._died} jobs died and no chunk has finished; the last one said: {str(e)[-500:]}") from e
+            if len(left) == 1:
+                return [*ended, (left[0], "", {"state": "failed", "error": f"{type(e).__name__}: the task died", "traceback": str(e)[-4000:]})]
+            halves = [h for h in (left[: len(left) // 2], left[len(left) // 2 :]) if h]
+            with ThreadPoolExecutor(max(1, len(halves))) as pool:
+                again = [pool.submit(self._attempt, stage, h) for h in halves]
+            return [*ended, *(x for f in again for x in f.result())]
 
     # control
 
@@ -241,7 +311,11 @@ class Runner:
 
     def _done(self, key: str, mark: str) -> bool:
         row = self.status.latest().get(key)
-        return bool(row and row["state"] == "success" and row["fingerprint"] == mark and not self.force and self.store.exists(f"data/{row['stage']}/{row['wave']}/_SUCCESS"))
+        if not row or row["state"] != "success" or row["fingerprint"] != mark or self.force:
+            return False
+        if row.get("parts") is None:
+            return self.store.exists(f"data/{row['stage']}/{row['wave']}/_SUCCESS")
+        return all(self.store.exists(p["key"]) for p in json.loads(row["parts"]))
 
     def _run_frame(self, stage: Stage, args: dict) -> None:
         chunk, key = Chunk("all"), f"{stage.name}/all"
@@ -280,31 +354,61 @@ class Runner:
         if left := self._drain(stage, todo, args):
             raise StageFailed(f"{stage.name}: {len(left)} chunks failed: {', '.join(c.id for c in left[:5])}")
 
+    @contextmanager
+    def _held(self, queue: LeaseQueue, keys: list[str]) -> Iterator[None]:
+        """Keeps the leases of chunks that a job is working on."""
+        over = threading.Event()
+
+        def beat() -> None:
+            while not over.wait(LEASE / 3):
+                for key in keys:
+                    queue.extend(key, LEASE)
+
+        thread = threading.Thread(target=beat, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            over.set()
+            thread.join()
+
     def _drain(self, stage: Stage, chunks: list[Chunk], args: dict, remediate: bool = True) -> list[Chunk]:
         """Runs chunks until each succeeded, was skipped or used up its attempts and remedies."""
-        attempts = {c.id: 0 for c in chunks}
+        queue, by_key = LeaseQueue(self.config.max_redeliveries), {}
         budget = self.config.max_remediations if remediate else 0
-        waiting, dead = list(chunks), []
-        while waiting:
-            for c in waiting:
-                self.tracker.set_state(stage.name, f"{stage.name}/{c.id}", "running")
-            rows, again = [], []
-            for c, wave, got in self._attempt(stage, waiting):
-                attempts[c.id] = attempts.get(c.id, 0) + 1
-                rows.append(self._row(stage, c, wave=wave, fingerprint=self._print(stage, c, args), attempt=attempts[c.id], **got))
-                if got["state"] == "failed":
-                    (again if attempts[c.id] <= self.config.max_redeliveries else dead).append(c)
+        self._finished = self._died = 0
+
+        def put(more: list[Chunk]) -> None:
+            by_key.update((f"{stage.name}/{c.id}", c) for c in more)
+            queue.enqueue([Task(stage.name, f"{stage.name}/{c.id}", c.params, c.weight) for c in more])
+
+        put(chunks)
+        while True:
+            tasks = {t.key: t for t in iter(lambda: queue.claim(LEASE), None)}
+            if not tasks:
+                dead = [by_key[t.key] for t in queue.dead]
+                fixed = self._remedy(stage, dead, apply=bool(budget)) if dead and remediate else None
+                if fixed is None:
+                    return dead
+                budget -= 1
+                stay = {f"{stage.name}/{c.id}" for c in fixed[1]}
+                queue.dead[:] = [t for t in queue.dead if t.key in stay]
+                put(fixed[0])
+                if not fixed[0]:
+                    return fixed[1]
+                continue
+            for key in tasks:
+                self.tracker.set_state(stage.name, key, "running")
+            with self._held(queue, list(tasks)):
+                got = self._attempt(stage, [by_key[k] for k in tasks])
+            rows = []
+            for c, wave, status in got:
+                key = f"{stage.name}/{c.id}"
+                rows.append(self._row(stage, c, wave=wave, fingerprint=self._print(stage, c, args), attempt=tasks[key].attempt + 1, **status))
+                (queue.fail if status["state"] == "failed" else queue.ack)(key)
             self.status.append(rows)
             for r in rows:
                 self.tracker.set_state(stage.name, r["key"], r["state"])
-            waiting = again
-            if not waiting and dead and budget:
-                if fixed := self._remedy(stage, dead):
-                    budget -= 1
-                    waiting, dead = fixed[0], fixed[1]
-            elif not waiting and dead and remediate:
-                self._remedy(stage, dead, apply=False)
-        return dead
 
     def _remedy(self, stage: Stage, dead: list[Chunk], apply: bool = True) -> tuple[list[Chunk], list[Chunk]] | None:
         """Asks the handler about each dead chunk; what to run next and what stays dead, or nothing changed."""
@@ -314,9 +418,10 @@ class Runner:
         tools = DiagnosticTools(self.status, self.pipe)
         handler = self.config.failure_handler or LLMFailureAgent()
         run, stay, changed = [], [], False
+        given = stage.resources(self.config)
         for c in dead:
             row = self.status.latest()[f"{stage.name}/{c.id}"]
-            event = FailureEvent(stage.name, row["key"], c.params, row["attempt"] or 0, row["error"] or "", row["traceback"] or "", row["peak_mem_mb"], row["limit_mb"], [{"id": m.id, "params": m.params} for m in c.members], stage.resources(self.config), tools.peer_stats(stage.name))
+            event = FailureEvent(stage.name, row["key"], c.params, row["attempt"] or 0, row["error"] or "", row["traceback"] or "", row["peak_mem_mb"], row["limit_mb"], [{"id": m.id, "params": m.params} for m in c.members], given, tools.peer_stats(stage.name))
             fix: Remediation | None = handler(event, tools)
             if policy != "remediate" or not apply or fix is None or fix.action in ("report", "abort"):
                 stay.append(c)
@@ -329,8 +434,9 @@ class Runner:
                 self.status.append([self._row(stage, c, state="skipped")])
                 self.tracker.set_state(stage.name, row["key"], "skipped")
             else:
-                stage.mem = fix.mem or (2 * stage.resources(self.config)["mem"] if fix.action == "resplit" else stage.mem)
-                stage.vcpu = fix.vcpu or stage.vcpu
+                mem = fix.mem or (2 * given["mem"] if fix.action == "resplit" else None)
+                stage.mem = max(mem, stage.mem or 0) if mem else stage.mem
+                stage.vcpu = max(fix.vcpu, stage.vcpu or 0) if fix.vcpu else stage.vcpu
                 run.append(c)
         return (run, stay) if changed else None
 

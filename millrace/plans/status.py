@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.store import Store
 
-SCHEMA = "seq long, run_id string, stage string, chunk_id string, key string, state string, wave string, fingerprint string, attempt int, error string, traceback string, peak_mem_mb double, limit_mb double, wall_seconds double, n_records long, outputs array<string>, chunk string, ts double"
+SCHEMA = "seq long, run_id string, stage string, chunk_id string, key string, state string, wave string, fingerprint string, attempt int, error string, traceback string, peak_mem_mb double, limit_mb double, wall_seconds double, n_records long, outputs array<string>, parts string, chunk string, ts double"
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
@@ -20,10 +20,15 @@ class Status:
     def __init__(self, store: Store, pipeline: str) -> None:
         self.store, self.prefix = store, f"status/{pipeline}"
         self._rows: list[dict] = []
-        for key in store.list(self.prefix):
-            self._rows += store.get_json(key)
+        self._latest: dict[str, dict] = {}
+        for key in store.list(self.prefix):  # names are their first row's number, so they come in order
+            self._take(store.get_json(key))
         self._seq = max((r["seq"] for r in self._rows), default=0)
 
+    def _take(self, rows: list[dict]) -> None:
+        self._rows += rows
+        self._latest.update((r["key"], r) for r in rows)
+
     def append(self, rows: list[dict]) -> None:
         """Adds rows in order, as one object."""
         if not rows:
@@ -33,12 +38,12 @@ class Status:
             self._seq += 1
             out.append({k: None for k in FIELDS} | r | {"seq": self._seq, "ts": time.time()})
         self.store.put_json(f"{self.prefix}/{out[0]['seq']:012d}.json", out)
-        self._rows += out
+        self._take(out)
 
     def latest(self) -> dict[str, dict]:
         """The latest row of each key; a later success hides an earlier failure."""
-        return {r["key"]: r for r in sorted(self._rows, key=lambda r: r["seq"])}
+        return self._latest
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """All rows as a DataFrame."""
-        return spark.createDataFrame([tuple(r[k] for k in FIELDS) for r in self._rows], SCHEMA)
+        return spark.createDataFrame([tuple(r.get(k) for k in FIELDS) for r in self._rows], SCHEMA)

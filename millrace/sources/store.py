@@ -6,8 +6,11 @@ are moved into place, so a reader never sees half an object; listings hide tempo
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import shutil
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -73,11 +76,19 @@ class Store:
         return self.put(key, Path(path).read_bytes())
 
     def get_file(self, key: str, path: str | None = None) -> str:
-        """A local copy of an object; with a cache folder, one that is there already serves."""
-        local = Path(path or Path(self.cache_dir or "/tmp/millrace-cache") / key)
-        if not local.exists():
-            local.parent.mkdir(parents=True, exist_ok=True)
-            part = local.with_name(f"{local.name}.{uuid.uuid4().hex}{PART}")
+        """A local copy of an object. Copies are cached by root, key, size and time of change, so neither another
+        root's object nor an older one of the same name is ever given."""
+        f, found = self._open()[0], self._path(key)
+        info = f.get_file_info(found)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.uri(key))
+        version = hashlib.sha256(f"{self.root}\n{info.size}\n{info.mtime_ns}".encode()).hexdigest()[:24]
+        kept = Path(self.cache_dir or Path(tempfile.gettempdir()) / "millrace-cache") / version / key
+        if not kept.exists():
+            kept.parent.mkdir(parents=True, exist_ok=True)
+            part = kept.with_name(f"{kept.name}.{uuid.uuid4().hex}{PART}")
             part.write_bytes(self.get(key))
-            os.replace(part, local)
-        return str(local)
+            os.replace(part, kept)
+        if path:
+            shutil.copyfile(kept, path)
+        return str(path or kept)

@@ -5,7 +5,7 @@ import sys
 import duckdb
 import pytest
 
-from millrace.plans import catalogue
+from millrace.plans import catalogue, control
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +28,7 @@ def test_entry_works_without_the_optional_operators(monkeypatch):
 
     def missing(name, g=None, l=None, fromlist=(), level=0):  # noqa: E741
         if "corpus_pipeline" in name or name.endswith("llm") or "llm" in (fromlist or ()):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name="corpus_pipeline")
         return real(name, g, l, fromlist, level)
 
     for m in [m for m in sys.modules if m == "__spark_entry__" or m == "corpus_pipeline" or m.startswith("millrace.llm")]:
@@ -43,3 +43,23 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_a_broken_import_of_the_optional_operators_is_not_hidden(monkeypatch):
+    real = builtins.__import__
+
+    def broken(name, g=None, l=None, fromlist=(), level=0):  # noqa: E741
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError(name="a_library_it_needs")
+        return real(name, g, l, fromlist, level)
+
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    monkeypatch.setattr(builtins, "__import__", broken)
+    with pytest.raises(ModuleNotFoundError):
+        importlib.import_module("__spark_entry__")
+
+
+def test_runs_keep_to_the_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert control.root(spark).startswith(shared.rstrip("/"))
