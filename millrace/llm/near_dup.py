@@ -501,13 +501,22 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     hash; a null id comes last. Rows of one id (or of none) and text count as one document; unrelated texts under
     one id all stay, as do empty ones."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = components(slim, percent, "text_key", "comp")
-    best = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("row")).select("row.doc_id", "row.text_key")
-    empty = found.where("n_shingles = 0").select("doc_id", "text_key")
-    keep = best.unionByName(empty).distinct().withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
+    found = materialize(components(slim, percent, "text_key", "comp"), "nd-found")
+    best = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("row"))
+    # what goes is less than what stays, so rows are looked up in that; all but a few pass without a shuffle
+    same = (F.col("row.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("row.text_key") == F.col("text_key"))
+    gone = found.where("n_shingles > 0").join(best, "comp").where(~same).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    twice = found.groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    gone, twice = materialize(gone, "nd-gone"), materialize(twice, "nd-twice")
+    discard(found)
     rows = docs.withColumn("__text_key", F.xxhash64(F.col("text").cast("string")))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    return rows.join(keep, on, "left_semi").dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
+    kept = rows.join(_near(gone), on, "left_anti")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    near = _near(twice)
+    once = kept.join(near, on, "left_semi").dropDuplicates(["doc_id", "__text_key"])
+    return kept.join(near, on, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def run(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
