@@ -1,25 +1,37 @@
 """Personal data by weak-supervision aggregation (component 8). DataFrame functions only.
 
 Regular expressions propose candidate spans: everything shaped like an e-mail, address, card, phone,
-national phone, social-security number or secret key, good or bad. Three labelers vote on each
-candidate (1, 0 abstains, -1): *form* (checks of the match itself: ranges, checksum, digit counts),
-*gazetteer* (words before it that name such data, or other things) and *context* (the characters
-around it). Votes are counted by pattern over the whole corpus, expectation-maximisation estimates
-how reliable each labeler is, and a logistic span classifier is trained on the posteriors. Both fits
-see only the table of patterns, at most kinds x 27 rows, never a document.
-
-Spans of the base rules are always reported; the classifier adds others that do not overlap them.
-Positions are code points. Matches and their places come from one split of the text by the pattern;
-the patterns are written with possessive groups, so long texts neither overflow the stack nor
-backtrack without bound.
-
-Defined cases: null counts as empty and has no spans; repeated rows are scanned one by one; an empty
-table gives no rows; with no candidates nothing is added.
+national phone, social-security number or secret key, good or bad. Four labelers vote on each
+candidate (1, -1, or 0 where they know nothing):
+
+* *form*: what the match itself proves or rules out (ranges, checksum, digit counts); a shape that
+  many other things have, such as a hexadecimal string or a dotted number, proves nothing;
+* *gazetteer*: the value against lists (mail providers, reserved networks, card issuers, calling and
+  toll-free codes, key prefixes);
+* *cue*: words around it that name such data, or other things (context);
+* *frame*: the characters that touch it: an assignment, or a longer token it is cut from (context).
+
+Candidates are counted by votes and features over the whole corpus. Expectation-maximisation estimates
+how reliable each labeler is and how common each kind, and a logistic span classifier is trained on
+its posteriors, with features of its own beside the votes: length, share of digits, variety of
+characters and the kind's cues. Both fits see only the table of patterns, at most kinds x 81 x 18
+rows, never a document. The classifier alone decides what is added.
+
+Spans of the base rules are always reported; the classifier adds others that overlap neither these
+nor an earlier added one. Positions are code points. Matches and their places come from one split of
+the text by the pattern; the patterns are written with possessive groups, so long texts neither
+overflow the stack nor backtrack without bound.
+
+Defined cases: null counts as empty and has no spans; repeated rows, also of one id, are scanned one
+by one and count as often; spans of one start are ordered by kind; texts of any length are read whole;
+``find`` reads no column beside ``doc_id`` and ``text``, whatever their names, and ``redact`` keeps all
+others as they are; an empty table gives no rows; with no candidates nothing is added.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +52,34 @@ PATTERNS = {
 #: what must be in a text for a pattern to be tried
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]", "national": r"[0-9]{3}[\x20.-][0-9]{4}", "ssn": r"[0-9]-[0-9]{2}-[0-9]", "secret": r"[A-Za-z0-9_]{32}"}
 BASE = ("email", "ip", "card", "phone")
-NAMES = r"(?i)\b(?:e-?mail|mail|contact|phone|tel|telephone|mobile|call|fax|cell|card|visa|ip|address|ssn|social security|token|secret|api[_ -]?key|password|passwd|key|auth)\b"
-OTHERS = r"(?i)\b(?:version|isbn|issn|doi|order|invoice|page|pages|chapter|figure|sha1|sha256|md5|commit|checksum|digest|uuid)\b"
+PHONE_CUES = "phone|tel|telephone|mobile|call|fax|cell|sms|whatsapp|dial"
+CUES = {
+    "email": "e-?mail|mail|contact|write|reply",
+    "ip": "ip|address|host|client|login|logged",
+    "card": "card|visa|mastercard|amex|credit|debit|payment|paid",
+    "phone": PHONE_CUES,
+    "national": PHONE_CUES,
+    "ssn": "ssn|social security|taxpayer",
+    "secret": "token|secret|api[_ -]?key|password|passwd|key|auth|bearer|credentials?",
+}
+OTHERS = r"(?i)\b(?:version|release|build|isbn|issn|doi|order|invoice|page|pages|chapter|figure|section|sha1|sha256|md5|commit|revision|checksum|digest|hash|uuid|serial)\b"
+PROVIDERS = "gmail|googlemail|outlook|hotmail|live|msn|yahoo|icloud|me|aol|proton|protonmail|gmx|web|mail|yandex|qq|163|126|orange|free|libero|t-online"
+ROLES = "no-?reply|do-?not-?reply|mailer-daemon|postmaster|webmaster|hostmaster|abuse|info|support|sales|admin"
+RESERVED = r"^0*(?:0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^169\.254\."
+ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6[0245])"
+CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[0578][0-9]|9[679][0-9])"
+AREAS = r"^\(?[2-9](?!11)[0-8][0-9]"
+TOLL_FREE = r"^\(?(?:800|822|833|844|855|866|877|888|900)"
+KEY_PREFIXES = r"^(?:gh[pousr]_|github_pat_|glpat|sk_live_|sk_test_|pk_live_|AKIA|ASIA|xox[abp]|AIza)"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-NEAR = 24
-LABELERS = ("form", "gazetteer", "context")
+NEAR = 48
+LABELERS = ("form", "gazetteer", "cue", "frame")
+#: features of a span beside its kind and votes, and how many values each has
+FEATURES = {"size": 3, "digits": 3, "variety": 2}
 ACCEPT = 0.6
-EM_STEPS = 50
+EM_STEPS = 60
+#: matches whose places are summed together
+RUN = 64
 
 _RANK = {k: i for i, k in enumerate(PATTERNS)}
 
@@ -60,41 +93,104 @@ def luhn(number: Column) -> Column:
     return F.aggregate(d, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def form(kind: str, m: Column) -> Column:
-    """Whether a match passes the checks of its kind."""
+def vote(yes: Column | None, no: Column | None) -> Column:
+    out = F.when(no, -1) if no is not None else F.when(yes, 1)
+    if no is not None and yes is not None:
+        out = out.when(yes, 1)
+    return out.otherwise(0)
+
+
+def base_form(kind: str, m: Column) -> Column:
+    """Whether a match passes the base rules' check of its kind."""
     n = F.length(digits(m))
-    checks = {
-        "email": F.lit(True),
-        "ip": m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"),
-        "card": n.between(14, 19) & luhn(digits(m)),
-        "phone": n.between(10, 15),
-        "national": m.rlike(r"^\(?[2-9]"),
-        "ssn": ~m.rlike(r"^(?:000|666|9..)|-00-|-0000$"),
-        "secret": m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.length(m) - F.length(F.regexp_replace(m, "[0-9]", "")) >= 5),
+    checks = {"email": F.lit(True), "ip": m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "card": n.between(14, 19) & luhn(digits(m)), "phone": n.between(10, 15)}
+    return checks.get(kind, F.lit(False))
+
+
+def form(kind: str, m: Column, good: Column) -> Column:
+    """What the match proves by itself; ``good`` says whether it passes the base check."""
+    votes = {
+        "email": lambda: vote(m.rlike(r"\.[A-Za-z]{2,}$"), ~m.rlike(r"\.[A-Za-z]{2,}$")),
+        "ip": lambda: vote(None, ~good),
+        "card": lambda: vote(good, ~good),
+        "phone": lambda: vote(good, ~good),
+        "national": lambda: vote(None, m.rlike(r"^\(?[01]") | m.rlike(r"^\(?[0-9]{3}[^0-9]+[01]")),
+        "ssn": lambda: vote(None, m.rlike(r"^(?:000|666|9..)|-00-|-0000$")),
+        "secret": lambda: vote(None, ~m.rlike("[0-9]") | ~m.rlike("[A-Za-z]") | (F.length(digits(m)) < 5)),
     }
-    return checks[kind]
+    return votes[kind]()
+
+
+def gazetteer(kind: str, m: Column) -> Column:
+    """What the lists know of the value."""
+    votes = {
+        "email": lambda: vote(m.rlike(rf"(?i)@(?:[a-z0-9-]+\.)*(?:{PROVIDERS})\.[a-z.]{{2,}}$"), m.rlike(rf"(?i)^(?:{ROLES})@")),
+        "ip": lambda: vote(m.rlike(r"^0*[1-9]"), m.rlike(RESERVED)),
+        "card": lambda: vote(m.rlike(ISSUERS), ~m.rlike(ISSUERS)),
+        "phone": lambda: vote(digits(m).rlike(CALLING), ~digits(m).rlike(CALLING)),
+        "national": lambda: vote(m.rlike(AREAS), m.rlike(TOLL_FREE)),
+        "ssn": lambda: vote(None, m.isin("078-05-1120", "219-09-9999")),
+        "secret": lambda: vote(m.rlike(KEY_PREFIXES), None),
+    }
+    return votes[kind]()
+
+
+def cue(kind: str, left: Column, right: Column) -> Column:
+    names = rf"(?i)\b(?:{CUES[kind]})\b"
+    return F.when(left.rlike(names), 1).when(left.rlike(OTHERS), -1).when(right.rlike(names), 1).otherwise(0)
+
+
+def frame(left: Column, right: Column) -> Column:
+    return F.when(left.rlike(r"[=:]\s*[\"'(<\[]?$"), 1).when(left.rlike(r"[\p{L}0-9/\\#_%-]$") | right.rlike(r"^[\p{L}0-9/\\_%]"), -1).otherwise(0)
+
+
+def features(m: Column) -> dict[str, Column]:
+    """Length, share of digits and variety of characters of a match, in steps."""
+    n, d = F.length(m), F.length(digits(m))
+    kinds = F.size(F.array_distinct(F.split(F.substring(m, 1, 64), "")))
+    return {"size": F.when(n <= 14, 0).when(n <= 24, 1).otherwise(2), "digits": F.when(d * 10 < n * 3, 0).when(d * 10 < n * 8, 1).otherwise(2), "variety": (kinds >= 10).cast("int")}
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ends(sizes: Column) -> Column:
+    """Sum of all sizes before each run of ``RUN``."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / RUN).cast("int"))
+    total = lambda k: F.aggregate(F.slice(sizes, k * RUN + 1, RUN), F.lit(0), lambda a, x: a + x)
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+    return F.aggregate(F.transform(runs, total), nothing, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["before"], F.array(a["at"])).alias("before")))["before"]
+
+
+FIELDS = ("form", "gazetteer", "cue", "frame", *FEATURES)
 
 
 def matches(text: Column, kind: str) -> Column:
-    """All matches of a kind in order: start, end, whether its form is right, and the labelers' votes."""
+    """All matches of a kind in order: start, end, whether the base rules take it, votes and features."""
     pattern = PATTERNS[kind]
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     both = F.arrays_zip(found.alias("m"), gaps.alias("g"), F.slice(gaps, 2, F.size(gaps)).alias("h"))
     both = F.slice(both, 1, F.size(found))
-    empty = F.array().cast("array<struct<start:int,end:int,ok:boolean,gazetteer:int,context:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        m, left, right = x["m"], F.right(x["g"], F.lit(NEAR)), F.left(x["h"], F.lit(2))
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(m)
-        gaz = F.when(left.rlike(NAMES), 1).when(left.rlike(OTHERS), -1).otherwise(0)
-        ctx = F.when(left.rlike(r"[=:]\s*[\"'(<\[]?$"), 1).when(left.rlike(r"[A-Za-z0-9/\\#]$") | right.rlike(r"^[A-Za-z/\\]"), -1).otherwise(0)
-        row = F.struct(start.alias("start"), end.alias("end"), form(kind, m).alias("ok"), gaz.alias("gazetteer"), ctx.alias("context"))
-        return F.struct(end.alias("at"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    rows = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("rows")), step)["rows"]
+    empty = F.array().cast(f"array<struct<start:int,end:int,ok:boolean,{','.join(f'{x}:int' for x in FIELDS)}>>")
+
+    def rows(x: Column) -> Column:
+        return bind(F.transform(x, lambda y: F.length(y["g"]) + F.length(y["m"])), lambda sizes: bind(ends(sizes), lambda before: F.transform(x, lambda y, i: row(x, sizes, before, y, i))))
+
+    def row(x: Column, sizes: Column, before: Column, y: Column, i: Column) -> Column:
+        m, last = y["m"], F.get(x, i - 1)
+        run = F.floor(i / RUN).cast("int")
+        start = F.get(before, run) + F.aggregate(F.slice(sizes, run * RUN + 1, i - run * RUN), F.lit(0), lambda a, z: a + z) + F.length(y["g"])
+        # what stands before reaches over the match before, so neighbours do not hide a cue
+        left = F.right(F.concat(F.coalesce(F.right(last["g"], F.lit(NEAR)), F.lit("")), F.coalesce(last["m"], F.lit("")), F.right(y["g"], F.lit(NEAR))), F.lit(NEAR))
+        right = F.left(y["h"], F.lit(NEAR // 2))
+        good = base_form(kind, m)
+        votes = {"form": form(kind, m, good), "gazetteer": gazetteer(kind, m), "cue": cue(kind, left, right), "frame": frame(left, right)} | features(m)
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), good.alias("ok"), *[votes[f].alias(f) for f in FIELDS])
+
     gate = text.contains(GATES[kind]) if kind == "email" else text.rlike(GATES[kind])
-    return F.when(gate, rows).otherwise(empty)
+    return F.when(gate & (F.size(found) > 0), bind(both, rows)).otherwise(empty)
 
 
 def candidates(docs: DataFrame, *keep: str) -> DataFrame:
@@ -109,13 +205,14 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def _tag(kind: str):
-    return lambda x: F.struct(x["start"].alias("start"), F.lit(_RANK[kind]).alias("kind"), x["end"].alias("end"), (F.lit(kind in BASE) & x["ok"]).alias("base"), F.when(x["ok"], 1).otherwise(-1).alias("form"), x["gazetteer"].alias("gazetteer"), x["context"].alias("context"))
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(_RANK[kind]).alias("kind"), x["end"].alias("end"), (F.lit(kind in BASE) & x["ok"]).alias("base"), *[x[f].alias(f) for f in FIELDS])
 
 
 def aggregate_votes(patterns: list[tuple[int, tuple[int, ...], int]]) -> tuple[dict, dict[str, list[float]]]:
     """Posterior of each (kind, votes) pattern, and each labeler's accuracy when it votes.
 
-    Two-class EM with one accuracy per labeler and one prior per kind, from accuracies of 0.8.
+    Two-class EM with one accuracy per labeler and one prior per kind, from accuracies of 0.8 that count
+    as ten votes each.
     """
     right = [0.8] * len(LABELERS)
     prior = {k: 0.5 for k, _, _ in patterns}
@@ -129,46 +226,81 @@ def aggregate_votes(patterns: list[tuple[int, tuple[int, ...], int]]) -> tuple[d
         for j in range(len(LABELERS)):
             good = sum(n * (post[k, v] if v[j] > 0 else 1 - post[k, v]) for k, v, n in patterns if v[j])
             every = sum(n for _, v, n in patterns if v[j])
-            right[j] = min(0.98, max(0.52, (good + 8) / (every + 10)))
+            right[j] = (good + 8) / (every + 10)
         for k in prior:
             mine = [(post[k2, v], n) for k2, v, n in patterns if k2 == k]
             prior[k] = min(0.95, max(0.05, (sum(p * n for p, n in mine) + 1) / (sum(n for _, n in mine) + 2)))
     return post, {"accuracy": right}
 
 
-def train(patterns: list[tuple[int, tuple[int, ...], int]]) -> dict[tuple[int, tuple[int, ...]], float]:
-    """Span classifier: logistic regression of the posteriors on votes and kind, by gradient steps on the pattern table."""
-    post, _ = aggregate_votes(patterns)
-    kinds = sorted({k for k, _, _ in patterns})
-    w = [0.0] * (len(LABELERS) + len(kinds))
-    total = sum(n for _, _, n in patterns) or 1
-
-    def x(k: int, v: tuple[int, ...]) -> list[float]:
-        return [*map(float, v), *(1.0 if k == q else 0.0 for q in kinds)]
-
-    for _ in range(400):
-        g = [1e-4 * a for a in w]
-        for k, v, n in patterns:
-            f = x(k, v)
-            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, f, strict=True))))
-            for i, b in enumerate(f):
-                g[i] += (p - post[k, v]) * b * n / total
-        w = [a - 2.0 * b for a, b in zip(w, g, strict=True)]
-    return {(k, v): 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x(k, v), strict=True)))) for k, v, _ in patterns}
+Pattern = tuple[int, tuple[int, ...], tuple[int, ...], int]
+
+
+def inputs(kind: int, votes: tuple[int, ...], feats: tuple[int, ...]) -> list[tuple[str, int]]:
+    """The indicators of a span: its kind, each vote, its kind's cue and frame, and each feature by kind."""
+    out = [("kind", kind), *[(x, v) for x, v in zip(LABELERS, votes, strict=True)]]
+    out += [(f"kind:{x}", kind * 8 + v) for x, v in zip(LABELERS, votes, strict=True) if x in ("cue", "frame")]
+    return out + [(f"kind:{f}", kind * 8 + v) for f, v in zip(FEATURES, feats, strict=True)]
+
+
+def train(patterns: list[Pattern]) -> dict[tuple[str, int], float]:
+    """Weights of the span classifier: logistic regression of the posteriors on its indicators, by gradient steps."""
+    tally: dict[tuple[int, tuple[int, ...]], int] = {}
+    for k, v, _, n in patterns:
+        tally[k, v] = tally.get((k, v), 0) + n
+    post, _ = aggregate_votes([(k, v, n) for (k, v), n in sorted(tally.items())])
+    rows = [(inputs(k, v, f), post[k, v], n) for k, v, f, n in patterns]
+    names = sorted({x for r, _, _ in rows for x in r})
+    w = dict.fromkeys(names, 0.0)
+    # every kind weighs alike, so a rare one is learned as well as a common one
+    mass: dict[int, int] = {}
+    for k, _, _, n in patterns:
+        mass[k] = mass.get(k, 0) + n
+    share = [n / mass[k] for (k, _, _, n) in patterns]
+    for _ in range(600):
+        g = {x: 1e-3 * a for x, a in w.items()}
+        for (r, target, _), n in zip(rows, share, strict=True):
+            p = 1 / (1 + math.exp(-sum(w[x] for x in r)))
+            for x in r:
+                g[x] += (p - target) * n
+        for x in names:
+            w[x] -= 0.25 * g[x]
+    return w
+
+
+def probability(w: dict[tuple[str, int], float], s: Column) -> Column:
+    """The classifier over a span column; indicators never seen weigh nothing."""
+
+    def weight(name: str, value: Column, values: range) -> Column:
+        return F.get(F.array(*[F.lit(w.get((name, v), 0.0)) for v in values]), value - values.start)
+
+    kinds, votes = range(len(PATTERNS)), range(-1, 2)
+    total = weight("kind", s["kind"], kinds)
+    for x in LABELERS:
+        total = total + weight(x, s[x], votes)
+    wide = range(-1, 8 * len(PATTERNS) + 8)
+    for x in ("cue", "frame", *FEATURES):
+        total = total + weight(f"kind:{x}", s["kind"] * 8 + s[x], wide)
+    return 1 / (1 + F.exp(-total))
+
+
+def count_patterns(rows: DataFrame) -> list[Pattern]:
+    """Candidates by kind, votes and features; a bounded table."""
+    by = ["kind", *FIELDS]
+    got = rows.select(F.explode("spans").alias("s")).groupBy(*[f"s.{x}" for x in by]).agg(F.count(F.lit(1)).alias("n")).orderBy(*by).collect()
+    return [(r["kind"], tuple(r[x] for x in LABELERS), tuple(r[x] for x in FEATURES), r["n"]) for r in got]
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """Candidates that stay: the base spans, and accepted ones that do not overlap them."""
-    votes = rows.select(F.explode("spans").alias("s")).groupBy("s.kind", *[f"s.{x}" for x in LABELERS]).agg(F.count(F.lit(1)).alias("n"))
-    patterns = [(r["kind"], tuple(r[x] for x in LABELERS), r["n"]) for r in votes.orderBy("kind", *LABELERS).collect()]  # kinds x 27 rows at most
-    accepted = [k for k, p in train(patterns).items() if p >= ACCEPT and k[1][0] > 0]
-    code = lambda k, v: k * 27 + sum((x + 1) * 3**i for i, x in enumerate(v))
-    own = lambda s: s["kind"] * 27 + sum(((s[x] + 1) * 3**i for i, x in enumerate(LABELERS)), F.lit(0))
-    good = F.array(*[F.lit(code(*a)) for a in accepted]) if accepted else F.array().cast("array<int>")
+    """Candidates that stay: the base spans, and accepted ones that overlap neither them nor each other."""
+    w = train(count_patterns(rows))
     base = F.filter("spans", lambda s: s["base"])
-    more = F.filter("spans", lambda s: ~s["base"] & F.array_contains(good, own(s)))
+    more = F.filter("spans", lambda s: ~s["base"] & (probability(w, s) >= ACCEPT))
     rows = rows.withColumn("base", base).withColumn("more", more)
     rows = rows.withColumn("more", F.filter("more", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))))
+    nothing = F.struct(F.lit(0).alias("at"), F.filter("more", lambda s: F.lit(False)).alias("kept"))
+    apart = F.aggregate("more", nothing, lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["kept"], F.array(s)).alias("kept"))).otherwise(a))["kept"]
+    rows = rows.withColumn("more", F.when(F.size("more") > 1, apart).otherwise(F.col("more")))
     return rows.withColumn("all", F.array_sort(F.concat("base", "more"))).drop("more", "spans")
 
 
