@@ -2,18 +2,26 @@
 
 Every document is cut into overlapping passages of words, and every passage queries an inverted index
 of the benchmark items. A posting's impact is its BM25 weight over the item's own full score, so one
-threshold serves items of any length. Block-max WAND, over all passages of a batch at once: items are
-numbered in blocks and each list stores its greatest impact by block; lists of words that most items
-share can't reach the threshold alone and only add a bound per block; a passage scores a block only
-if its words' block maxima and that bound reach the threshold, and then exactly. All items above the
-threshold are verified: the share of the three-word sequences of the item's question (all but its
-last sentence) and of its answer (the last one) that stand in the text around the passage.
-
-The index is built in the driver from at most ``SHARD`` items at a time; a larger benchmark is split
-into shards and the corpus read once per shard, so what is broadcast is bounded.
+threshold serves items of any length; word frequencies and the mean length are those of the whole
+benchmark. Items are indexed by length class, the powers of two, and queried by passages of that
+many words, so one long item widens no other's passages.
+
+Block-max WAND, over all passages of a batch at once: items are numbered in blocks and each list is
+cut at the blocks' borders, every cut with its greatest impact. Lists of words that most items share
+only add a bound per block. A (passage, block) whose greatest impacts and bound do not reach the
+threshold is skipped before any posting is read; in the others the rarer lists are summed, and items
+that the shared words could still lift are scored exactly. All items above the threshold are
+verified: the share of the three-word sequences of the item's question (all but its last sentence)
+and of its answer (the last one) that stand in the text around the passage.
+
+The index is built in the driver from at most ``SHARD`` items and ``SHARD_BYTES`` of text at a time;
+a larger benchmark is split into shards and the corpus read once per shard, so what is broadcast is
+bounded. Scores do not depend on the shards.
 
 Defined cases: null, empty or wordless texts and items match nothing; repeated items are reported
-under each of their ids, repeated documents once per row; an empty table on either side gives no rows.
+under each of their ids (a null id as null), repeated documents once per row, equal scores by item;
+texts of any length are read whole; of a document's columns only ``doc_id`` and ``text`` are used,
+whatever others are called; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import arrow_batches, documents
+from .common import arrow_batches, documents, materialize
 
 K1, BM_B = 1.2, 0.75
 #: share of an item's own score that retrieves it
@@ -35,12 +43,13 @@ THRESHOLD = 0.4
 #: shares of question and answer that confirm a leak
 QUESTION, ANSWER = 0.6, 0.5
 SHARD = 20_000
+SHARD_BYTES = 32 << 20
 ITEMS_PER_BLOCK = 8
 MIN_PASSAGE = 64
 SEQUENCE = 3
 #: words that this share of the items holds are scored by bound first
 COMMON = 0.05
-#: live (passage, term) rows that are scored at once, a passage never cut
+#: (passage, term) rows that are scored at once, a passage never cut
 PART = 100_000
 
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -71,19 +80,45 @@ def sequences(h: np.ndarray) -> np.ndarray:
     return textkit.distinct(textkit.ngram_hashes(h, np.zeros(len(h), np.int64), SEQUENCE)[0])
 
 
+class Statistics:
+    """What BM25 knows of a whole benchmark: items, their mean length, and the frequency of each word of a shard."""
+
+    def __init__(self, items: int, mean: float, words: np.ndarray, df: np.ndarray) -> None:
+        self.items, self.mean, self.words, self.df = items, mean, words, df
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        size, words, df = counted(pa.array(texts, pa.string()))
+        n = int((size > 0).sum())
+        return cls(n, float(size.sum() / max(1, n)), words, df)
+
+
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text; the distinct words and in how many texts each stands."""
+    h, cut = hashed_words(texts)
+    own = np.repeat(np.arange(len(texts)), np.diff(cut))
+    order = np.lexsort((own, h))
+    h, own = h[order], own[order]
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    words, df = np.unique(h[once], return_counts=True)
+    return np.diff(cut), words, df
+
+
 class Index:
-    """Impact-ordered blocks over at most SHARD items."""
+    """Block-max lists over the items of one length class."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str], known: Statistics | None = None, width: int | None = None) -> None:
+        known = known or Statistics.of(texts)
         h, cut = hashed_words(pa.array(texts, pa.string()))
         size = np.diff(cut)
         keep = np.flatnonzero(size > 0)
-        self.ids = np.array(ids, np.int64)[keep]
+        self.ids = [ids[i] for i in keep]
         n = len(keep)
         parts = [question_answer(texts[i]) for i in keep]
         self.question = self._parts([p[0] for p in parts])
         self.answer = self._parts([p[1] for p in parts])
-        self.width = max(MIN_PASSAGE, int(size.max(initial=0)) + int(size.max(initial=0)) % 2)
+        self.width = width or length_class(int(size.max(initial=0)))
         item, word, tf = [], [], []
         for k, i in enumerate(keep):
             u, c = np.unique(h[cut[i] : cut[i + 1]], return_counts=True)
@@ -95,29 +130,28 @@ class Index:
             return
         item, word, tf = np.concatenate(item), np.concatenate(word), np.concatenate(tf)
         self.vocab, term = np.unique(word, return_inverse=True)
-        df = np.bincount(term)
-        length = size[keep]
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - BM_B + BM_B * length[item] / length.mean()))
+        df = known.df[np.searchsorted(known.words, self.vocab)]
+        idf = np.log(1 + (known.items - df + 0.5) / (df + 0.5))
+        w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - BM_B + BM_B * size[keep][item] / known.mean))
         own = np.bincount(item, weights=w, minlength=n)
         w = w / own[item]
         order = np.lexsort((item, term))
         self.item, self.impact, term = item[order], w[order], term[order]
         self.start = np.searchsorted(term, np.arange(len(self.vocab) + 1))
-        self.common = df > max(1, COMMON * n)
+        self.common = df > max(1, COMMON * known.items)
+        # a list is cut at the blocks' borders: cut k holds the postings cut_at[k] to cut_at[k + 1]
         block = self.item // ITEMS_PER_BLOCK
         self.blocks = int(block.max()) + 1
-        # block maxima of the rarer lists
+        key = term * self.blocks + block
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.cut_at = np.append(first, len(key))
+        self.cut_block = block[first]
+        self.cut_max = np.maximum.reduceat(self.impact, first)
+        self.cuts = np.searchsorted(term[first], np.arange(len(self.vocab) + 1))
+        # what the common lists can add to any item, and to the best one of a block
         rare = ~self.common[term]
-        key = term[rare] * self.blocks + block[rare]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        self.max_impact = np.maximum.reduceat(self.impact[rare], first) if len(first) else np.zeros(0)
-        self.max_block = key[first] % self.blocks
-        self.max_start = np.searchsorted(key[first] // self.blocks, np.arange(len(self.vocab) + 1))
-        # what the common lists can add to any item of a block
-        shared = np.bincount(self.item[~rare], weights=self.impact[~rare], minlength=n)
-        self.shared = shared
-        self.bound = np.array([shared[b * ITEMS_PER_BLOCK : (b + 1) * ITEMS_PER_BLOCK].max() for b in range(self.blocks)])
+        self.shared = np.bincount(self.item[~rare], weights=self.impact[~rare], minlength=n)
+        self.bound = np.maximum.reduceat(self.shared, np.arange(0, n, ITEMS_PER_BLOCK))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.vocab >> np.uint64(44)).astype(np.int64)] = True
 
@@ -145,66 +179,60 @@ class Index:
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
         """(passage, item, score) of all pairs that reach the threshold."""
-        rare = np.flatnonzero(~self.common[term])
-        if not len(rare):
-            rare = np.zeros(0, np.int64)
-        size = (self.max_start[1:] - self.max_start[:-1])[term[rare]]
-        flat = np.repeat(self.max_start[:-1][term[rare]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        key = np.repeat(passage[rare], size) * self.blocks + self.max_block[flat]
-        order = np.argsort(key, kind="stable")
-        key, up = key[order], self.max_impact[flat][order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        total = np.add.reduceat(up, first) if len(first) else np.zeros(0)
-        key = key[first]
-        live = key[total + self.bound[key % self.blocks] >= THRESHOLD - 1e-9]
-        rest = np.flatnonzero(self.bound >= THRESHOLD - 1e-9)  # blocks that common words alone may lift
-        if len(rest):
-            live = textkit.distinct(np.concatenate([live, (textkit.distinct(passage)[:, None] * self.blocks + rest).ravel()]))
-        # exact scores of the live (passage, block) pairs, from all of the passage's lists
-        rows = np.flatnonzero(np.isin(passage, textkit.distinct(live // self.blocks)))
-        found: list[tuple[int, int, float]] = []
         # parts are cut between passages only, so that every sum is over the whole passage
-        cuts = np.searchsorted(passage[rows], passage[rows[PART::PART]])
-        for part in np.split(rows, np.unique(cuts)):
-            part = part[~self.common[term[part]]]
-            if not len(part):
-                continue
-            k, score = self._sum(passage[part], term[part])
-            ok = score + self.shared[k % len(self.ids)] >= THRESHOLD - 1e-9
-            near = k[ok]
-            near = near[np.isin((near // len(self.ids)) * self.blocks + (near % len(self.ids)) // ITEMS_PER_BLOCK, live)]
-            found += self._exact(near, passage, term)
-        if len(rest):
-            near = live[np.isin(live % self.blocks, rest)]
-            near = ((near // self.blocks * len(self.ids) + near % self.blocks * ITEMS_PER_BLOCK)[:, None] + np.arange(ITEMS_PER_BLOCK)).ravel()
-            found += self._exact(near[near % len(self.ids) >= 0], passage, term)
-        return sorted(set(found))
-
-    def _sum(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys passage * items + item met by the lists of the terms, and their summed impact."""
-        size = (self.start[1:] - self.start[:-1])[term]
-        flat = np.repeat(self.start[:-1][term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        key = np.repeat(passage, size) * len(self.ids) + self.item[flat]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return key[first], np.add.reduceat(self.impact[flat][order], first)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(passage, passage[PART::PART]), [len(passage)]]))
+        return [x for a, z in zip(cuts[:-1], cuts[1:], strict=True) for x in self._part(passage[a:z], term[a:z])]
 
-    def _exact(self, near: np.ndarray, passage: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
+    def _part(self, passage: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
+        n, least = len(self.ids), THRESHOLD - 1e-9
+        rare = ~self.common[term]
+        key, cut = self._cuts(passage[rare], term[rare])
+        live = np.zeros(0, np.int64)
+        if len(key):
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            live = key[first][np.add.reduceat(self.cut_max[cut], first) + self.bound[key[first] % self.blocks] >= least]
+        near, summed = self._scores(key, cut, live)
+        near = near[summed + self.shared[near % n] >= least]
+        lifted = np.flatnonzero(self.shared >= least)  # items that common words alone may lift
+        if len(lifted):
+            near = np.concatenate([near, (textkit.distinct(passage)[:, None] * n + lifted).ravel()])
         if not len(near):
             return []
         near = textkit.distinct(near)
-        rows = np.isin(passage, near // len(self.ids))
-        key, score = self._sum(passage[rows], term[rows])
-        at = np.minimum(np.searchsorted(key, near), len(key) - 1)
-        ok = (key[at] == near) & (score[at] >= THRESHOLD - 1e-9)
-        return [(int(k // len(self.ids)), int(k % len(self.ids)), float(x)) for k, x in zip(near[ok], score[at[ok]], strict=True)]
-
-    def search(self, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
-        """(row, item id, score, question and answer overlap) of the confirmed leaks, best passage each."""
+        # exact: all lists of the passage, in the blocks of what is left
+        key, cut = self._cuts(passage, term)
+        full, score = self._scores(key, cut, textkit.distinct(near // n * self.blocks + near % n // ITEMS_PER_BLOCK))
+        at = np.minimum(np.searchsorted(full, near), max(len(full) - 1, 0))
+        ok = (full[at] == near) & (score[at] >= least) if len(full) else np.zeros(len(near), bool)
+        return [(int(k // n), int(k % n), float(x)) for k, x in zip(near[ok], score[at[ok]], strict=True)]
+
+    def _cuts(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys passage * blocks + block, sorted, and the list cut behind each."""
+        size = (self.cuts[1:] - self.cuts[:-1])[term]
+        flat = np.repeat(self.cuts[:-1][term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        key = np.repeat(passage, size) * self.blocks + self.cut_block[flat]
+        order = np.argsort(key, kind="stable")
+        return key[order], flat[order]
+
+    def _scores(self, key: np.ndarray, cut: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys passage * items + item and their summed impact, from the cuts of the live keys only."""
+        at = np.minimum(np.searchsorted(live, key), max(len(live) - 1, 0))
+        ok = live[at] == key if len(live) else np.zeros(len(key), bool)
+        key, cut = key[ok], cut[ok]
+        size = self.cut_at[cut + 1] - self.cut_at[cut]
+        flat = np.repeat(self.cut_at[cut] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        pair = np.repeat(key // self.blocks, size) * len(self.ids) + self.item[flat]
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        if not len(pair):
+            return pair, np.zeros(0)
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        return pair[first], np.add.reduceat(self.impact[flat][order], first)
+
+    def search(self, h: np.ndarray, cut: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
+        """By (row, item): score, question and answer overlap of the confirmed leaks, best passage each."""
         if not len(self.vocab):
-            return []
-        h, cut = hashed_words(texts)
+            return {}
         passage, term, base = self.passages(h, cut)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         step = self.width // 2
@@ -217,21 +245,63 @@ class Index:
             if q >= QUESTION and r >= ANSWER:
                 k = (row, item)
                 best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (score, q, r))
-        return [(row, int(self.ids[item]), *v) for (row, item), v in sorted(best.items())]
+        return best
 
 
-def shards(items: DataFrame) -> Iterator[Index]:
-    """Indexes over bounded runs of items in order of their ids."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").orderBy("item_id", "text")
-    ids, texts = [], []
-    for r in rows.toLocalIterator():
-        ids.append(r["item_id"] if r["item_id"] is not None else -1)
+def length_class(words: int) -> int:
+    """Words of the passages that query items of so many words: the next power of two."""
+    return max(MIN_PASSAGE, 1 << max(0, words - 1).bit_length())
+
+
+class Shard:
+    """The indexes of a bounded run of items, one for each length class."""
+
+    def __init__(self, ids: list[int | None], texts: list[str], known: Statistics | None = None) -> None:
+        size, words, _ = counted(pa.array(texts, pa.string()))
+        self.words, known = words, known or Statistics.of(texts)
+        widths = np.array([length_class(int(n)) for n in size], np.int64)
+        self.classes = [Index([ids[i] for i in own], [texts[i] for i in own], known, int(w)) for w in np.unique(widths) for own in [np.flatnonzero((widths == w) & (size > 0))] if len(own)]
+
+    def search(self, texts: pa.Array) -> list[tuple[int, int | None, float, float, float]]:
+        """(row, item id, score, question and answer overlap) of the confirmed leaks."""
+        h, cut = hashed_words(texts)
+        found = [(row, index.ids[item], *v) for index in self.classes for (row, item), v in index.search(h, cut).items()]
+        return sorted(found, key=lambda x: (x[0], x[1] is None, x[1] or 0, x[2:]))
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number and words of a batch's items (word null), and in how many of them each word stands."""
+    for b in batches:
+        size, words, df = counted(b.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *words.view(np.int64).tolist()], pa.int64()), pa.array([int((size > 0).sum()), *df.tolist()], pa.int64()), pa.array([int(size.sum()), *[0] * len(words)], pa.int64())], names=["word", "items", "words"])
+
+
+def shards(items: DataFrame) -> Iterator[Shard]:
+    """Indexes over bounded runs of items in order of their ids; a benchmark of one run needs no statistics beside it."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    spark, counts = items.sparkSession, None
+
+    def statistics(texts: list[str]) -> Statistics:
+        nonlocal counts
+        if counts is None:
+            counts = materialize(rows.select("text").mapInArrow(_item_words, "word long, items long, words long").groupBy("word").agg(F.sum("items").alias("items"), F.sum("words").alias("words")), "bench-words")
+        total = counts.where("word IS NULL").first()
+        own = pa.table({"word": counted(pa.array(texts, pa.string()))[1].view(np.int64)})
+        got = counts.join(spark.createDataFrame(own), "word").select("word", "items").toArrow()  # a shard's words
+        words, df = got.column("word").to_numpy().view(np.uint64), got.column("items").to_numpy()
+        order = np.argsort(words)
+        return Statistics(total["items"], total["words"] / max(1, total["items"]), words[order], df[order])
+
+    ids, texts, held, whole = [], [], 0, True
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
+        if ids and (len(ids) >= SHARD or held + len(r["text"]) > SHARD_BYTES):
+            yield Shard(ids, texts, statistics(texts))
+            ids, texts, held, whole = [], [], 0, False
+        ids.append(r["item_id"])
         texts.append(r["text"])
-        if len(ids) == SHARD:
-            yield Index(ids, texts)
-            ids, texts = [], []
+        held += len(r["text"])
     if ids:
-        yield Index(ids, texts)
+        yield Shard(ids, texts, None if whole else statistics(texts))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -239,8 +309,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = documents(docs)
     spark = docs.sparkSession
     out = spark.createDataFrame([], FOUND)
-    for index in shards(items):
-        shared = spark.sparkContext.broadcast(index)
+    for shard in shards(items):
+        shared = spark.sparkContext.broadcast(shard)
 
         def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -256,8 +326,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak, all columns kept."""
     arrow_batches(docs.sparkSession)
-    for index in shards(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for shard in shards(items):
+        shared = docs.sparkSession.sparkContext.broadcast(shard)
 
         def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
