@@ -8,15 +8,20 @@ The sketch is a log-bucket histogram: a measure x falls in bucket
 depends on GAMMA and the range, not on the rows. It is built and merged by ordinary partial
 aggregation, so a source that holds a third of the rows is summed before any shuffle.
 
-A (language, source) cell with fewer than ``min_cell`` documents borrows its language's merged
-sketch, and that one the corpus sketch. Thresholds come from the sketch alone: a document fails when
-the bucket of a measure lies beyond the fence of its cell. The fence of a share is
-``q3 + FENCE * (q3 - q1)``; where the quartiles share a bucket it is ``t + FENCE * (t - q3)`` with the
-tail quantile t = q90, so where nine documents in ten hold no symbol, any symbol is an outlier. Word
-length and length have a fence on either side, taken in the same way from the logarithms (the buckets).
-With no words (null or empty text included) a document fails the base rules.
-Rows repeated in the input are scored and returned one by one; null lang or source is a cell of
-its own; an empty table gives an empty result.
+Every (language, source) cell has its own thresholds. Its sketch is joined by those of its language
+and of the corpus, scaled to weigh ``PRIOR`` documents each, so a cell of a few documents follows its
+language, one of many follows itself, and nothing switches at a size. Thresholds come from the summed
+sketch alone: a document fails when the bucket of a measure lies beyond the fence of its cell. The
+fence of a share is ``q3 + FENCE * (q3 - q1)``; where the quartiles share a bucket it is
+``t + FENCE * (t - q3)`` with the tail quantile t = q90, so where nine documents in ten hold no symbol,
+any symbol is an outlier. Word length and length have a fence on either side, taken in the same way
+from the logarithms (the buckets).
+
+Defined cases: with no words (null or empty text included) a document fails the base rules; texts of
+any length are read whole; rows repeated in the input are scored and returned one by one and count as
+often; equal measures share a bucket and so a verdict; null lang or source is a cell of its own;
+columns beside doc_id, text, lang and source are not read, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +41,8 @@ from .common import arrow_batches, materialize
 GAMMA = 1.01
 SCALE = 1000.0
 FENCE = 3.0
-MIN_CELL = 200
+#: documents that the language's sketch weighs in a cell's, and the corpus's in a language's
+PRIOR = 20
 #: the quantile that stands for the spread where the quartiles share a bucket
 TAIL = 0.90
 SHARES = ("symbol_share", "dup_line_share", "repeat_share")
@@ -120,13 +126,32 @@ def merged(sketch: DataFrame, cell: list[str]) -> DataFrame:
     return sketch.groupBy(*cell, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
+def joined(sketch: DataFrame, prior: DataFrame, cell: list[str], shared: list[str]) -> DataFrame:
+    """Each cell's sketch plus its prior's, scaled to ``PRIOR`` documents; the prior's cells are ``shared``."""
+    total = Window.partitionBy(*shared, "measure")
+    scaled = prior.select(*[F.col(c).alias(f"p_{c}") for c in shared], "measure", "bucket", (F.col("n") * PRIOR / F.sum("n").over(total)).alias("n"))
+    cells = sketch.select(*cell).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in shared]
+    spread = cells.join(scaled, same).select(*cell, "measure", "bucket", "n")
+    return merged(sketch.withColumn("n", F.col("n").cast("double")).unionByName(spread), cell)
+
+
+def thresholds(cells: DataFrame) -> DataFrame:
+    """Fences of every (lang, source) cell and measure, from the cells' sketches."""
+    corpus = merged(cells.withColumn("every", F.lit(1)), ["every"])
+    by_lang = merged(cells, ["lang"]).withColumn("every", F.lit(1))
+    by_lang = joined(by_lang, corpus, ["lang", "every"], ["every"])
+    return fences(joined(cells, by_lang.drop("every"), ["lang", "source"], ["lang"]), ["lang", "source"])
+
+
 def fences(sketch: DataFrame, cell: list[str]) -> DataFrame:
     """Least and greatest bucket of each cell and measure that pass, from the quantile buckets of its sketch."""
     w = Window.partitionBy(*cell, "measure").orderBy("bucket")
     whole = Window.partitionBy(*cell, "measure")
     run = sketch.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(whole)})
     quantiles = (("t1", 1 - TAIL), ("q1", 0.25), ("q3", 0.75), ("t3", TAIL))
-    q = run.groupBy(*cell, "measure").agg(F.max("total").alias("docs"), *[F.min(F.when(F.col("upto") >= F.col("total") * p, F.col("bucket"))).alias(a) for a, p in quantiles])
+    # the hair's breadth keeps a sum of weights that rounds below its own share from moving a quantile
+    q = run.groupBy(*cell, "measure").agg(*[F.min(F.when(F.col("upto") >= F.col("total") * (p - 1e-9), F.col("bucket"))).alias(a) for a, p in quantiles])
 
     def beyond(near, far, tail):
         return F.when(F.col("q3") > F.col("q1"), near + FENCE * (near - far)).otherwise(tail + FENCE * (tail - near))
@@ -137,24 +162,14 @@ def fences(sketch: DataFrame, cell: list[str]) -> DataFrame:
     is_share = F.col("measure").isin(list(SHARES))
     low = F.when(~is_share, beyond(F.col("q1"), F.col("q3"), F.col("t1")))
     high = F.when(is_share, share).otherwise(beyond(F.col("q3"), F.col("q1"), F.col("t3")))
-    return q.select(*cell, "measure", "docs", F.struct(low.cast("double").alias("low"), high.cast("double").alias("high")).alias("fence"))
+    return q.select(*cell, "measure", F.struct(low.cast("double").alias("low"), high.cast("double").alias("high")).alias("fence"))
 
 
-def apply_rules(docs: DataFrame, min_cell: int = MIN_CELL) -> DataFrame:
+def apply_rules(docs: DataFrame) -> DataFrame:
     """Measures and verdict of every document; ``failed`` names the measures over their fence."""
     stats = materialize(measure_documents(docs), "rules-stats")
     cells = materialize(sketches(stats, ["lang", "source"]), "rules-sketch")  # a few hundred rows a cell, whatever the documents
-    by_lang, corpus = merged(cells, ["lang"]), merged(cells.withColumn("all_docs", F.lit(1)), ["all_docs"])
-
-    def wide(f: DataFrame, cell: list[str], tag: str) -> DataFrame:
-        return f.groupBy(*cell).agg(F.max("docs").alias(f"docs_{tag}"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{m}_{tag}") for m in MEASURES])
-
-    t = wide(fences(cells, ["lang", "source"]), ["lang", "source"], "cell")
-    lang = wide(fences(by_lang, ["lang"]), ["lang"], "lang").withColumnRenamed("lang", "lang_l")
-    whole = wide(fences(corpus, ["all_docs"]), ["all_docs"], "corpus")
-    t = t.join(lang, F.col("lang").eqNullSafe(F.col("lang_l"))).withColumn("all_docs", F.lit(1)).join(whole, "all_docs")
-    pick = lambda m: F.when(F.col("docs_cell") >= min_cell, F.col(f"{m}_cell")).when(F.col("docs_lang") >= min_cell, F.col(f"{m}_lang")).otherwise(F.col(f"{m}_corpus"))
-    t = t.select(F.col("lang").alias("lang_t"), F.col("source").alias("source_t"), *[pick(m).alias(f"{m}_fence") for m in MEASURES])
+    t = thresholds(cells).groupBy(F.col("lang").alias("lang_t"), F.col("source").alias("source_t")).agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{m}_fence") for m in MEASURES])
     out = stats.join(t, F.col("lang").eqNullSafe(F.col("lang_t")) & F.col("source").eqNullSafe(F.col("source_t")), "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = F.filter(F.array(*[F.when((bucket(F.col(m)) > F.col(f"{m}_fence.high")) | (bucket(F.col(m)) < F.col(f"{m}_fence.low")), F.lit(m)) for m in MEASURES]), lambda x: x.isNotNull())

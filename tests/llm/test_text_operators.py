@@ -94,6 +94,29 @@ def test_rules_fences_follow_each_source(spark):
     assert sum(bool(got[i + k]) for i in range(300) for k in (0, 1000, 2000)) <= 9
 
 
+def test_rules_every_cutoff_follows_its_cell(spark):
+    """Two sources of other habits differ in the cutoff of every measure; a third of one document has its language's."""
+    rng = random.Random(8)
+
+    def text(loud):
+        lines = [prose(rng, rng.randint(6, 14)) for _ in range(rng.randint(30, 60) if loud else rng.randint(8, 16))]
+        if loud:
+            lines = [x.replace(" ", "zz ") + " #" * rng.randint(1, 4) for x in lines]
+            lines += rng.sample(lines, rng.randint(2, 8)) + ["so it goes on and so it goes on"] * rng.randint(1, 3)
+        return "\n".join(lines)
+
+    rows = [(i, text(i % 2), "en", ["calm", "loud"][i % 2]) for i in range(400)] + [(900, text(1), "en", "lone")]
+    stats = quality_rules.measure_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    cells = quality_rules.sketches(stats, ["lang", "source"])
+    got = {(r.source, r.measure): r.fence for r in quality_rules.thresholds(cells).collect()}
+    fixed = {v for v in vars(quality_rules).values() if isinstance(v, (int, float))}
+    for m in quality_rules.MEASURES:
+        assert got["calm", m] != got["loud", m] and got["lone", m] is not None
+        assert not {got[x, m][k] for x in ("calm", "loud") for k in ("low", "high") if got[x, m][k]} & fixed
+    by_lang = {r.measure: r.fence for r in quality_rules.fences(quality_rules.sketches(stats, ["lang"]), ["lang"]).collect()}
+    assert all(abs(got["lone", m].high - by_lang[m].high) <= 0.06 * by_lang[m].high + 2 for m in ("word_length", "length"))
+
+
 def test_language_accuracy_und_and_ties(spark, docs, texts, empty):
     rng = random.Random(1)
     alphabets = {"aa": "the an er on re".split(), "bb": "schl ung keit der ach".split(), "cc": "ción os ar lla ñ".split()}
@@ -262,11 +285,14 @@ def test_decontamination(spark, empty):
     assert decontaminate.run(df, bench.limit(0)).count() == 0 and decontaminate.run(empty, bench).count() == 0
 
 
-def test_retrieval_equals_scoring_every_item():
-    """Block-max search gives exactly the pairs that brute force puts over the threshold."""
+@pytest.mark.parametrize("part", [1, 50, decontaminate.PART])
+def test_retrieval_equals_scoring_every_item(monkeypatch, part):
+    """Block-max search gives exactly the pairs and scores that brute force puts over the threshold."""
+    monkeypatch.setattr(decontaminate, "PART", part)
     rng = random.Random(9)
     items = [prose(rng, rng.randint(3, 40)) for _ in range(80)]
     texts = [prose(rng, 90) for _ in range(40)] + [f"{prose(rng, 20)} {x} {prose(rng, 20)}" for x in items[:30]]
+    texts += [" ".join(x.split()[: len(x.split()) * 6 // 10]) for x in items]  # about the threshold
     index = decontaminate.Index(list(range(80)), items)
     h, cut = decontaminate.hashed_words(pa.array(texts))
     passage, term, _ = index.passages(h, cut)
@@ -281,29 +307,43 @@ def test_retrieval_equals_scoring_every_item():
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_retrieval_in_parts_cuts_no_passage(monkeypatch):
-    """Passages just over the threshold are found whatever the batch's size and the part's."""
-    rng = random.Random(8)
-    items = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(60)]  # no common words, so no bound lifts a part
-    index = decontaminate.Index(list(range(60)), items)
-    h, cut = decontaminate.hashed_words(pa.array([" ".join(x.split()[: rng.randint(20, 26)]) for x in items]))
-    passage, term, base = index.passages(h, cut)
-    once = index.retrieve(passage, term)
-    assert len(once) >= 50 and all(s < 0.8 for p, i, s in once if p == i)
-    times = 300_000 // len(passage) + 2
-    many = (np.arange(times)[:, None] * base[-1] + passage).ravel()
-    got = index.retrieve(many, np.tile(term, times))
-    assert {(p, i) for p, i, _ in got} == {(p + k * base[-1], i) for p, i, _ in once for k in range(times)}
-    for part in (1, 10, 50):
-        monkeypatch.setattr(decontaminate, "PART", part, raising=False)
-        assert index.retrieve(passage, term) == once
-
-
-def test_shards_agree_with_one_index(spark, monkeypatch):
+def test_dead_blocks_are_skipped_before_their_postings(monkeypatch):
+    rng = random.Random(2)
+    items = [" ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(400)]
+    index = decontaminate.Index(list(range(400)), items)
+    h, cut = decontaminate.hashed_words(pa.array([items[7]]))
+    passage, term, _ = index.passages(h, cut)
+    read = []
+    scores = index._scores
+
+    def spy(key, cut, live):
+        read.append((len(live), index.blocks))
+        return scores(key, cut, live)
+
+    monkeypatch.setattr(index, "_scores", spy)
+    assert [i for _, i, s in index.retrieve(passage, term) if s > 0.99] == [7]
+    assert all(n < blocks / 2 for n, blocks in read)
+
+
+def test_a_long_item_widens_no_others_passages():
+    rng = random.Random(1)
+    texts = [prose(rng, 20), prose(rng, 900), prose(rng, 70)]
+    shard = decontaminate.Shard([0, 1, 2], texts)
+    assert [(i.width, i.ids) for i in shard.classes] == [(64, [0]), (128, [2]), (1024, [1])]
+    assert [x[:2] for x in shard.search(pa.array([f"{prose(rng, 300)} {t} {prose(rng, 300)}" for t in texts]))] == [(0, 0), (1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("limit", [("SHARD", 7), ("SHARD_BYTES", 2000)])
+def test_shards_agree_with_one_index(spark, monkeypatch, limit):
+    """The same pairs and the same scores, whole and partial leaks, with a null id and a repeated item."""
     rng = random.Random(3)
-    items = [(i, prose(rng, 30)) for i in range(25)]
-    df = spark.createDataFrame([(i, f"{prose(rng, 50)} {items[i][1]}") for i in range(25)], "doc_id long, text string")
+    items = [(i, prose(rng, rng.randint(12, 80))) for i in range(25)] + [(None, prose(rng, 30))]
+    items.append((77, items[3][1]))
+    texts = [f"{prose(rng, 50)} {t}" for _, t in items] + [" ".join(t.split()[: len(t.split()) * 8 // 10]) for _, t in items]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "SHARD", 7)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.run(df, bench).collect()} >= {(i, i) for i in range(25)}
-    assert json.dumps([len(x.ids) for x in decontaminate.shards(bench)]) == "[7, 7, 7, 4]"
+    found = lambda: sorted((tuple(r) for r in decontaminate.run(df, bench).collect()), key=str)
+    once = found()
+    assert {(d, i) for d, i, *_ in once} >= {(k, i) for k, (i, _) in enumerate(items)} and sum(d == 0 for d, *_ in once) == 2
+    monkeypatch.setattr(decontaminate, *limit)
+    assert found() == once
