@@ -1,20 +1,24 @@
 """Language identification by rank-order profiles (component 10).
 
-A language's profile is its most frequent byte n-grams (1 to 4 bytes, letters lowered, every
-run of other ASCII taken as one space) in rank order. A document is given the language whose
-profile its own most frequent n-grams are least out of place with.
-
-Profiles are learned from at most ``per_language`` documents of each language (a hash sample of
-the learning rows) and hold ``TOP`` n-grams each, so what is broadcast is bounded by
-``MAX_LANGUAGES * TOP`` entries. Scoring is a map over whole texts.
-
-A null text, or one without any letter, is ``und`` with score 0; ties go to the alphabetically
-first language; with no learning rows everything is ``und``. Repeated rows are scored one by
-one and an empty table gives an empty result.
+A language's profile is its most frequent character n-grams (1 to 4 code points, letters lowered,
+every run of other characters taken as one space) in rank order. A document is given the language
+whose profile its own most frequent n-grams are least out of place with.
+
+Profiles are learned from about ``per_language`` documents of each language (a hash sample of the
+learning rows) and hold ``TOP`` n-grams each, so what is broadcast is bounded by
+``MAX_LANGUAGES * TOP`` entries; a column with more values than that is no column of languages and
+raises an error. Scoring is a map over whole texts.
+
+Defined cases: a null text, or one without any letter, is ``und`` with score 0; distances that tie go
+to the alphabetically first language, counts that tie to the n-gram of the smaller key; with no
+learning rows everything is ``und``; texts of any length are read whole; repeated rows are scored one
+by one and learned from as often; of the columns beside doc_id, text and lang none is read, whatever
+their names, and the filter keeps all of them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,32 +28,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .common import arrow_batches, documents, fold, hashed_below
+from .common import arrow_batches, documents, fold, hashed_below, materialize
 
 TOP = 400
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 3000
-MAX_LANGUAGES = 2000
+MAX_LANGUAGES = 10_000
 #: below this score a document's n-grams resemble no profile and the filter rejects it
 REJECT_BELOW = 0.05
 
-_LUT = textkit.LOWER.copy()
-_LUT[:128][textkit.NON_ALNUM[:128]] = 32
-_LUT[48:58] = 32
-
-
-def grams(data: np.ndarray) -> np.ndarray:
-    """All n-grams of one text as packed integers, a space before and after each word."""
-    b = _LUT[data]
-    b = np.concatenate([[np.uint8(32)], b, [np.uint8(32)]])
-    b = b[~((b == 32) & np.concatenate([[False], b[:-1] == 32]))].astype(np.uint32)
-    parts = [b[b != 32]]
-    acc = b
-    for n in ORDERS[1:]:
-        if len(b) < n:
-            break
-        acc = (acc[:-1] << np.uint32(8)) | b[n - 1 :]
-        parts.append(acc)
+_SPACE = np.uint32(32)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)], bool)
+
+
+def code_points(text: str) -> np.ndarray:
+    """The lowered letters of a text, each run of other characters as one space, a space at either end."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.concatenate([[_SPACE], np.where(letters()[c], c, _SPACE), [_SPACE]]).astype(np.uint32)
+    return c[~((c == _SPACE) & np.concatenate([[False], c[:-1] == _SPACE]))]
+
+
+def grams(text: str) -> np.ndarray:
+    """A 32-bit key of every n-gram of one text."""
+    c = code_points(text)
+    parts = []
+    acc = c.astype(np.uint64)
+    for n in ORDERS:
+        if n > 1:
+            if len(c) < n:
+                break
+            acc = acc[:-1] * _STEP + c[n - 1 :]
+        keys = (textkit.mix(acc + np.uint64(n)) >> np.uint64(32)).astype(np.uint32)
+        parts.append(keys[c != _SPACE] if n == 1 else keys)
     return np.concatenate(parts)
 
 
@@ -72,10 +88,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial n-gram counts by language, summed within the task; a task keeps its languages' counts only."""
     total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
-        data, off = textkit.buffers(b.column("text"))
         by: dict[str, list[np.ndarray]] = {}
-        for i, lang in enumerate(b.column("lang").to_pylist()):
-            by.setdefault(lang, []).append(grams(data[off[i] : off[i + 1]]))
+        for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+            by.setdefault(lang, []).append(grams(text))
         for lang, parts in by.items():
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             if lang in total:
@@ -91,11 +106,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
     """Profiles from the rows where ``learnable`` holds, lang is given and the text is not null."""
     rows = documents(docs.withColumn("__learn", learnable), "lang", "__learn").where("__learn AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return {}
-    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
-    picked = rows.where(F.col("lang").isin(list(sizes)) & F.col("text").isNotNull() & hashed_below(F.col("doc_id"), share[F.col("lang")]))
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of"), "lang-sizes")
+    if (languages := sizes.count()) > MAX_LANGUAGES:
+        raise ValueError(f"{languages} values of lang are more than {MAX_LANGUAGES}")
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
+    picked = rows.where(F.col("text").isNotNull()).join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(hashed_below(F.col("doc_id"), share))
     counts = picked.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= TOP)
     out: dict[str, np.ndarray] = {}
@@ -114,17 +129,11 @@ def profile_table(profiles: dict[str, np.ndarray]) -> tuple[list[str], np.ndarra
     return langs, keys, ranks
 
 
-def has_letter(data: np.ndarray) -> bool:
-    if (((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128)).any():
-        return True
-    return bool((data >= 128).any()) and any(c.isalpha() for c in data.tobytes().decode("utf-8", "replace"))
-
-
-def classify(data: np.ndarray, table: tuple[list[str], np.ndarray, np.ndarray]) -> tuple[str, float]:
+def classify(text: str | None, table: tuple[list[str], np.ndarray, np.ndarray]) -> tuple[str, float]:
     langs, keys, ranks = table
-    if not langs or not len(data) or not has_letter(data):
+    if not langs or not text or not letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
         return "und", 0.0
-    own, _ = ranked(grams(data), TOP)
+    own, _ = ranked(grams(text), TOP)
     if not len(own):
         return "und", 0.0
     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
@@ -145,8 +154,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *keep: str) -> Da
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = textkit.buffers(b.column("text"))
-            got = [classify(data[off[i] : off[i + 1]], table) for i in range(b.num_rows)]
+            got = [classify(t, table) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "lang_score"])
 
     schema = T.StructType([slim.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
@@ -160,8 +168,7 @@ def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], least: flo
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = textkit.buffers(b.column("text"))
-            got = [classify(data[off[i] : off[i + 1]], table) for i in range(b.num_rows)]
+            got = [classify(t, table) for t in b.column("text").to_pylist()]
             yield b.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
