@@ -10,8 +10,12 @@ the learning fold), so its cost does not grow with the corpus; the ``BUCKETS`` w
 to the executors and every whole text is scored by a map. Margins become probabilities by a
 logistic fit on labelled rows left out of the descent.
 
-Null and empty texts get the intercept's score. A document labelled more than once counts once
-per label row. Without labels of both classes every score is the label share (0.5 if none).
+Defined cases: null and empty texts get the intercept's score; texts of any length are read whole. A
+document labelled more than once counts once per label row, repeated documents once per row; learning
+rows are put in order of id, text and label first, so the layout of the files changes no score. Labels
+other than 0 and 1, and those without an id or a document, are left out. Without labels of both
+classes every score is the label share (0.5 if none). Scores that tie are all given; columns beside
+doc_id and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,7 +96,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cut, feat = features(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feat, pa.int32()))], names=["y", "f"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("y"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feat, pa.int32()))], names=["doc_id", "key", "y", "f"])
 
 
 def fit_svm(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -148,14 +152,18 @@ def logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, bound: int) -> DataFrame:
-    """Texts and 0/1 labels ``y`` of a hash sample of about ``bound`` labelled learning rows."""
+    """Ids, texts, their hashes and 0/1 labels ``y`` of a hash sample of about ``bound`` labelled learning rows."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(learnable)
     picked = rows.where(hashed_below(F.col("doc_id"), sample_fraction(bound, rows.count())))
-    return documents(docs).join(F.broadcast(picked), "doc_id")  # the bound holds for the broadcast side
+    return documents(docs).join(F.broadcast(picked), "doc_id").withColumn("key", F.xxhash64("text"))  # the bound holds for the broadcast side
+
+
+#: the order of learning rows, whatever order they arrive in
+ORDER = [("doc_id", "ascending"), ("key", "ascending"), ("y", "ascending")]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, fit_rows: int = FIT_ROWS) -> dict:
-    got = labelled(docs, labels, label, learnable, fit_rows).select("y", "text").mapInArrow(_features, "y int, f array<int>").toArrow()
+    got = labelled(docs, labels, label, learnable, fit_rows).select("doc_id", "key", "y", "text").mapInArrow(_features, "doc_id long, key long, y int, f array<int>").toArrow().sort_by(ORDER)
     y = np.where(got.column("y").to_numpy() == 1, 1.0, -1.0)
     if len(set(y)) < 2:
         return {"w": np.zeros((2, BUCKETS)), "bias": 0.0, "a": 0.0, "b": 0.0 if not len(y) else 4.0 * y[0]}
