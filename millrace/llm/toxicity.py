@@ -10,8 +10,14 @@ The model is fitted in the driver on at most ``fit_rows`` labelled documents (a
 the learning fold) and has ``BUCKETS * DIM`` numbers. As average and softmax are linear, scoring
 needs one number per n-gram; whole texts are scored by a map, every passage of them.
 
-Null, empty and wordless texts get the score of an empty passage. Repeated rows are scored one by
-one. Without labels of both classes the score is constant.
+Of a long text the executors send the driver ``EXCERPTS`` passages drawn at random, so what is
+learned from is bounded in bytes (some 10 kB a row) as well as in rows; scoring reads whole texts.
+
+Defined cases: null, empty and wordless texts get the score of an empty passage; texts of any length
+are scored whole. Repeated rows are scored one by one, and a document labelled more than once counts
+once per label row; learning rows are put in order of id, text and label first, so the layout of the
+files changes no score. Without labels of both classes the score is constant. Scores that tie are all
+given; columns beside doc_id and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .common import documents, fold
-from .quality_classifier import labelled
+from .quality_classifier import ORDER, labelled
 
 BUCKETS = 1 << 18
 DIM = 4
@@ -34,6 +40,8 @@ PASSAGE = 40
 #: words of the passages whose worst average is read, beside the whole text's average
 WINDOWS = (12, 40)
 FIT_ROWS = 6000
+#: passages of a long text that are learned from
+EXCERPTS = 32
 EPOCHS = 30
 RATE = 1.0
 #: descent steps an epoch has at least, so that few rows are learned as well as many
@@ -42,6 +50,8 @@ THRESHOLD = 0.7
 #: how much more a toxic document weighs when the score is calibrated; they are the few
 TOXIC_WEIGHT = 3.0
 NGRAMS = (3, 4, 5)
+#: distinct words whose n-grams are made at once
+WORDS = 20_000
 
 
 def subwords(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +76,7 @@ def subwords(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray
     own.append(np.arange(len(s)))
     k, o = np.concatenate(keys), np.concatenate(own)
     order = np.argsort(o, kind="stable")
-    return (k[order] % np.uint64(BUCKETS)).astype(np.int64), o[order]
+    return (k[order] % np.uint64(BUCKETS)).astype(np.int32), o[order]
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +88,9 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     if not len(s):
         return np.zeros(0, np.int64), cut, np.zeros(0, np.int64), np.zeros(1, np.int64)
     _, at, word = np.unique(textkit.word_hashes(low, s, e), return_index=True, return_inverse=True)
-    sub, own = subwords(low, s[at], e[at])
-    return word, cut, sub, np.searchsorted(own, np.arange(len(at) + 1))
+    found = [subwords(low, s[at[k : k + WORDS]], e[at[k : k + WORDS]]) for k in range(0, len(at), WORDS)]
+    size = np.concatenate([np.bincount(own, minlength=min(WORDS, len(at) - k * WORDS)) for k, (_, own) in enumerate(found)])
+    return word, cut, np.concatenate([sub for sub, _ in found]), np.concatenate([[0], np.cumsum(size)])
 
 
 def averages(score: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -194,11 +205,26 @@ def word_scores(t: np.ndarray, sub: np.ndarray, cut: np.ndarray) -> np.ndarray:
 def probabilities(texts: pa.Array, model: dict) -> np.ndarray:
     word, cut, sub, sub_cut = tokens(texts)
     x = averages(word_scores(model["t"], sub, sub_cut)[word], cut)
-    return 1 / (1 + np.exp(-np.clip((x + model["bias"]) @ model["coef"] + model["b"], -30, 30)))
+    # sums run over a batch, so the last digits would tell where in it a text stood
+    return np.round(1 / (1 + np.exp(-np.clip((x + model["bias"]) @ model["coef"] + model["b"], -30, 30))), 10)
+
+
+def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long texts cut to passages drawn at random, by a draw that the text itself fixes."""
+    for b in batches:
+        texts = []
+        for text, key in zip(b.column("text").to_pylist(), b.column("key").to_pylist(), strict=True):
+            w = (text or "").split()
+            if len(w) > EXCERPTS * PASSAGE:
+                starts = np.sort(np.random.default_rng(key & 0x7FFFFFFF).integers(0, len(w) - PASSAGE, EXCERPTS))
+                w = [x for a in starts for x in w[a : a + PASSAGE]]
+            texts.append(" ".join(x[:256] for x in w))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("y"), pa.array(texts, pa.string())], names=["doc_id", "key", "y", "text"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, fit_rows: int = FIT_ROWS) -> dict:
-    got = labelled(docs, labels, label, learnable, fit_rows).select("doc_id", "y", "text").toArrow().sort_by("doc_id")
+    rows = labelled(docs, labels, label, learnable, fit_rows).select("doc_id", "key", "y", "text")
+    got = rows.mapInArrow(_excerpts, "doc_id long, key long, y int, text string").toArrow().sort_by(ORDER)
     text = got.column("text").combine_chunks()
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) and text.num_chunks else text
     return fit(text if isinstance(text, pa.Array) else pa.array([], pa.string()), got.column("y").to_numpy().astype(int))
