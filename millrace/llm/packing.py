@@ -2,12 +2,15 @@
 
 Hierarchical residual packing. Documents are tokenised and cut into pieces of at most ``length``
 tokens by a map. Each partition packs its own pieces best-fit, longest first, in runs of at most
-``RUN`` items; nearly full bins are final. Underfull bins are items of the next round, in groups
-of at most ``RUN`` again, until one group is left and packed or a round no longer helps. Between
-rounds only bins travel, never tokens, and no group is larger than ``RUN`` whatever the corpus.
-
-A null or empty text is the closing id alone. Rows repeated in the input are packed one by one;
-ties are packed in order of document and piece. An empty table gives an empty result.
+``RUN`` items; nearly full bins are final. Underfull bins are items of the next round, dealt anew by
+hash to groups of about ``RUN``, until one group is left and packed or a round frees less than
+``GAIN`` of the open bins. Between rounds only bins travel, never pieces or tokens; the pieces learn
+their places in one join at the end.
+
+Defined cases: a null or empty text is the closing id alone; texts of any length are read whole and
+cut. Rows repeated in the input are packed one by one; ties are packed in order of document, piece and
+content. Columns beside ``doc_id`` and ``text`` are not read, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import discard, documents, materialize
 from .tokens import WordBpe
 
 LENGTH = 2048
@@ -30,8 +33,8 @@ RUN = 1 << 16
 #: a bin with at most this many free tokens is final
 NEARLY = 8
 #: further rounds stop once one frees less than this share of the open bins
-GAIN = 0.01
-MAX_ROUNDS = 12
+GAIN = 0.001
+MAX_ROUNDS = 31
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -137,23 +140,35 @@ def pack(items: DataFrame, length: int = LENGTH) -> DataFrame:
     """``items`` (of ``PIECES``) with ``sequence_id`` and gapless ``offset``."""
     items = materialize(items, "pack-pieces")
     placed = materialize(items.mapInArrow(_pack_pieces(length), PIECES + ", bin long, offset long, fill long"), "pack-0")
+    discard(items)
     open_bins = placed.where(F.col("fill") < length - NEARLY).groupBy("bin").agg(F.max("fill").alias("fill"))
-    n = open_bins.count()
-    for level in range(1, MAX_ROUNDS):
+    moved: DataFrame | None = None  # where the first round's bins lie by now
+    for level in range(1, MAX_ROUNDS + 1):
+        n = open_bins.count()
         if n < 2:
             break
         groups = -(-n // RUN)
         dealt = open_bins.withColumn("g", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)))
         step = materialize(dealt.groupBy("g").applyInArrow(_pack_bins(level, length), "bin long, parent long, base long, parent_fill long"), f"pack-{level}")
-        placed = placed.join(step, "bin", "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("parent", "bin").alias("bin"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
-        open_bins = step.where(F.col("parent_fill") < length - NEARLY).groupBy(F.col("parent").alias("bin")).agg(F.max("parent_fill").alias("fill"))
-        left = open_bins.count()
+        before, moved = moved, step.select("bin", "parent", "base") if moved is None else _composed(moved, step)
+        moved = materialize(moved, "pack-moved")
+        discard(before)
         merged = step.select("parent").distinct().count()
         if groups == 1 or merged > n * (1 - GAIN):
+            discard(step)
             break
-        n = left
+        open_bins = materialize(step.where(F.col("parent_fill") < length - NEARLY).groupBy(F.col("parent").alias("bin")).agg(F.max("parent_fill").alias("fill")), "pack-open")
+        discard(step)
+    if moved is not None:
+        placed = placed.join(moved, "bin", "left").withColumns({"offset": F.col("offset") + F.coalesce("base", F.lit(0)), "bin": F.coalesce("parent", "bin")})
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
 
+def _composed(moved: DataFrame, step: DataFrame) -> DataFrame:
+    """Places after one more round."""
+    on = step.select(F.col("bin").alias("parent"), F.col("parent").alias("to"), F.col("base").alias("more"))
+    return moved.join(on, "parent", "left").select("bin", F.coalesce("to", "parent").alias("parent"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
+
+
 def run(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     return pack(pieces(docs, tokenizer, length), length)
