@@ -200,7 +200,8 @@ class Index:
             return []
         near = textkit.distinct(near)
         # exact: all lists of the passage, in the blocks of what is left
-        key, cut = self._cuts(passage, term)
+        rows = np.isin(passage, textkit.distinct(near // n))
+        key, cut = self._cuts(passage[rows], term[rows])
         full, score = self._scores(key, cut, textkit.distinct(near // n * self.blocks + near % n // ITEMS_PER_BLOCK))
         at = np.minimum(np.searchsorted(full, near), max(len(full) - 1, 0))
         ok = (full[at] == near) & (score[at] >= least) if len(full) else np.zeros(len(near), bool)
