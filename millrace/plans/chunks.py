@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass
@@ -89,15 +91,22 @@ def assign(df: DataFrame, member: str, chunks: list[Chunk]) -> DataFrame:
 
 
 def pack_frame(df: DataFrame, weight: str, target: float) -> DataFrame:
-    """``pack`` as one SQL fold over (ordinal, weight) rows of a plan: adds ``chunk`` numbers."""
-    all_ = df.agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col(weight).cast("double").alias("w")))).alias("rows"))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0.0).alias("room"), F.array().cast("array<struct<ordinal:int,chunk:int>>").alias("out"))
+    """``pack`` over the rows of a plan in order of ``ordinal``: adds ``chunk`` numbers.
 
-    def step(acc, x):
-        fits = (acc["chunk"] >= 0) & (x["w"] <= acc["room"])
-        n = F.when(fits, acc["chunk"]).otherwise(acc["chunk"] + 1)
-        room = F.when(fits, acc["room"]).otherwise(F.lit(float(target))) - x["w"]
-        return F.struct(n.alias("chunk"), room.alias("room"), F.concat(acc["out"], F.array(F.struct(x["ordinal"].alias("ordinal"), n.alias("chunk")))).alias("out"))
+    Next-fit is a fold, so the plan is one partition; it is streamed, with only the open chunk's room carried along.
+    """
 
-    placed = all_.select(F.explode(F.aggregate("rows", start, step)["out"]).alias("p")).select("p.*")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, room = -1, 0.0
+        for b in batches:
+            numbers = []
+            for w in b.column("__weight").to_pylist():
+                if chunk < 0 or w > room:
+                    chunk, room = chunk + 1, float(target)
+                room -= w
+                numbers.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column("ordinal"), pa.array(numbers, pa.int32())], names=["ordinal", "chunk"])
+
+    slim = df.select("ordinal", F.col(weight).cast("double").alias("__weight"))
+    placed = slim.repartition(1).sortWithinPartitions("ordinal").mapInArrow(fold, T.StructType([df.schema["ordinal"], T.StructField("chunk", T.IntegerType())]))
     return df.join(placed, "ordinal")

@@ -158,6 +158,16 @@ def test_store_and_files(spark, tmp_path):
         files.file_chunks(spark, ["x"], [1.0, 2.0])
 
 
+def test_a_store_elsewhere():
+    """Any file system pyarrow knows by its address; this one is in memory, as an object store would be far away."""
+    s = Store("mock:///bucket/run/")
+    assert s.put("a/b.json", b"[1]") == "a/b.json" and s.get_json("a/b.json") == [1]
+    assert s.exists("a/b.json") and not s.exists("a/c") and s.list("a") == ["a/b.json"]
+    assert s.uri("a") == "mock:///bucket/run/a" and s.__getstate__()["_fs"] is None
+    with open(s.get_file("a/b.json")) as f:
+        assert f.read() == "[1]"
+
+
 class Model:
     def __init__(self):
         self.rounds, self.n = 0, 0
