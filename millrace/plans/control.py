@@ -39,7 +39,7 @@ def nations(spark: SparkSession, sf_dir: str, pipe: Pipeline, **options) -> Sour
     return pipe.source("nations", enumerate=lambda cfg, **_: chunks, **options)
 
 
-@query("SELECT n_nationkey AS nation, n_name AS name, i, i * n_regionkey AS v FROM nation, (SELECT unnest(range(4)) AS i)")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS nation, n_name AS name, i, i * n_regionkey AS v FROM nation, (SELECT unnest(range(4)) AS i)")
 def run_reader_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An enumerated source whose reader expands each member, and a stage of one chunk per member."""
     pipe = pipeline(spark, "reader")
@@ -106,7 +106,7 @@ def out_of_memory(ctx) -> None:
     ctx.write({"nation": ctx.members[0]["nation"], "letters": len(ctx.members[0]["name"])})
 
 
-@query("SELECT n_nationkey AS nation, length(n_name) AS letters FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS nation, length(n_name) AS letters FROM nation")
 def run_resplit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed chunks run out of memory; the heuristic splits them to their members."""
     pipe = pipeline(spark, "resplit", failure_policy="remediate")
@@ -122,7 +122,7 @@ def no_third_region(ctx) -> None:
     ctx.write({"nation": ctx.members[0]["nation"]})
 
 
-@query("SELECT CASE n_regionkey WHEN 3 THEN 'skipped' ELSE 'success' END AS state, CASE n_regionkey WHEN 3 THEN NULL ELSE 1 END AS records, count(*) AS n FROM nation GROUP BY ALL")
+@query("SELECT CASE n_regionkey WHEN 3 THEN 'skipped' ELSE 'success' END AS state, CAST(CASE n_regionkey WHEN 3 THEN NULL ELSE 1 END AS BIGINT) AS records, count(*) AS n FROM nation GROUP BY ALL")
 def run_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that always fail are skipped; the status table's latest rows say what became of each."""
     pipe = pipeline(spark, "skip", failure_policy="remediate", failure_handler=lambda e, t: Remediation("skip"))
@@ -168,7 +168,7 @@ def run_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.status.frame(spark).groupBy("state").agg(F.max("attempt").alias("attempts"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_regionkey AS region, count(*) AS n, CAST(sum(length(n_name)) AS BIGINT) AS letters FROM nation GROUP BY ALL HAVING count(*) > 0")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS region, count(*) AS n, CAST(sum(length(n_name)) AS BIGINT) AS letters FROM nation GROUP BY ALL HAVING count(*) > 0")
 def run_side_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names lie beside the plan as an object; a custom hook makes one chunk per region of the members."""
     pipe = pipeline(spark, "aux")
@@ -208,7 +208,7 @@ def run_frame_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.output(joined)
 
 
-@query("SELECT n_regionkey AS region, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation GROUP BY n_regionkey")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS region, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation GROUP BY n_regionkey")
 def run_frame_into_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A frame stage's typed rows go to a Python stage that folds them as one chunk."""
     pipe = pipeline(spark, "mixed")
@@ -253,7 +253,7 @@ class Rounds:
             self.rounds = int(f.read())
 
 
-@query("SELECT r_regionkey AS region, 70 + 10 * r_regionkey AS rounds, CAST(ceil((70 + 10 * r_regionkey) / 25.0) AS BIGINT) AS saved FROM region")
+@query("SELECT CAST(r_regionkey AS BIGINT) AS region, CAST(70 + 10 * r_regionkey AS BIGINT) AS rounds, CAST(ceil((70 + 10 * r_regionkey) / 25.0) AS BIGINT) AS saved FROM region")
 def run_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits in blocks of 25 rounds that break off once and go on from the last block saved."""
     pipe = pipeline(spark, "fits", max_redeliveries=1)
