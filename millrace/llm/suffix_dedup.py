@@ -2,24 +2,31 @@
 
 Removes each byte that a ``LENGTH``-byte string covers which starts anywhere else too, in the same
 document or another. Only starts of such strings (suffixes with LENGTH bytes left) matter, and only
-the first LENGTH bytes of a suffix decide.
+the first LENGTH bytes of a suffix decide, so suffixes are put in order by these.
 
 1. *Suffix buckets.* A suffix belongs to the bucket of the least hash among the ``GRAM``-byte grams of
-   its first LENGTH bytes, so equal strings share a bucket. Consecutive suffixes of one bucket form a
-   run; a run's key is a hash of all bytes its suffixes span. Runs are what travels: about one for
-   every 140 bytes.
-2. A bucket with one run that meets its least gram once is settled: nothing repeats. Runs with equal
-   keys are copies: all their suffixes repeat, settled by counting, however many there are.
-3. What is left is fetched once per distinct run and sorted bucket by bucket, in blocks of bounded
-   bytes: names of the ``LENGTH - V + 1``-byte strings at a difference cover sample of positions are
-   computed by doubling; two suffixes that agree in their first and last V bytes agree altogether if
-   and only if the names at their common cover offset do, so long ties need no further bytes.
-4. A bucket of more than ``BLOCK`` bytes is split into one bucket per suffix (its 128-bit hash) and
-   counted by partial aggregation, so no task ever holds a bucket without bound.
-
-Defined cases: null counts as empty; texts shorter than LENGTH lose nothing; matches never cross
-documents; repeated rows are each other's copies; texts under one id are kept apart by a hash of the
-text. An empty table gives no rows.
+   its first LENGTH bytes, so equal strings share a bucket and a bucket can be sorted by itself.
+   Consecutive suffixes of one bucket form a run; a run's key is a hash of all bytes its suffixes
+   span. Runs are what travels: about one for every 140 bytes. Runs with equal keys are copies; they
+   are one run that weighs as many, counted by partial aggregation before anything is shuffled.
+2. A bucket with a single run that meets its least gram once is in order as it is: its strings all
+   differ, and each weighs what the run weighs. All others are fetched once per distinct run and sorted
+   bucket by bucket, in blocks of bounded bytes.
+3. *Difference cover.* In a block, the strings of ``LENGTH - V + 1`` bytes at a cover sample of the
+   positions get ranks by doubling. Suffixes are sorted by their first V bytes; longer ties are settled
+   by the ranks at the offset where both are in the sample, and the last V bytes. Of any two residues
+   there is exactly one such offset, so sorting the four residues of each offset places every suffix
+   among all others without comparing further bytes. A suffix repeats if those of its place in the
+   order weigh two or more.
+4. A bucket of more than ``BLOCK`` bytes is split into one bucket per suffix (its 128-bit hash), in
+   which all are equal and partial aggregation sums the weights, so no task ever holds a bucket
+   without bound. Both ways give the same bytes.
+
+Defined cases: null counts as empty; texts shorter than LENGTH lose nothing; texts of any length are
+read whole, in overlapping segments; matches never cross documents; repeated rows are each other's
+copies; texts under one id (or none) are kept apart by a hash of the text; of the places of an equal
+string all are removed, none is preferred; columns beside ``doc_id`` and ``text`` are not read,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -118,23 +125,27 @@ def _cut_texts(length: int):
             rows: list[tuple] = []
             for doc, key, text, want in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
                 raw = (text or "").encode()
-                rows += [(w["bucket"], doc, key, w["first"], w["n"], raw[w["first"] : w["last"] + length]) for w in want]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "doc_id", "key", "first", "n", "bytes"])
+                rows += [(w["bucket"], w["content"], doc, key, w["first"], w["n"], raw[w["first"] : w["last"] + length]) for w in want]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "content", "doc_id", "key", "first", "n", "bytes"])
 
     return go
 
 
 def rank(keys: list[np.ndarray]) -> np.ndarray:
-    """Dense numbers of rows of keys, equal for equal rows."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    new = np.zeros(len(order), np.int64)
-    change = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        change[1:] |= s[1:] != s[:-1]
-    new[order] = np.cumsum(change)
-    return new
+    """Dense numbers of rows of keys, equal for equal rows, in their order."""
+    out = _dense(keys[0])
+    for k in keys[1:]:
+        out = _dense(out * (len(k) + 1) + _dense(k))
+    return out
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    s = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]])[: len(key)])
+    return out
 
 
 def packed(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -145,20 +156,11 @@ def packed(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def repeated(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Whether the ``length`` bytes from each start also stand at another of the starts.
+def names(data: np.ndarray, wanted: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the ``size``-byte strings at the wanted positions, by doubling; and each position's place among them.
 
-    ``data`` must go on for at least ``length`` bytes from every start.
+    Steps double a string's length within its residue class, so they stay in the sample; the last one overlaps.
     """
-    size = length - V + 1
-    pad = np.concatenate([data, np.zeros(2 * length, np.uint8)])
-    cover = np.zeros(V, bool)
-    cover[list(COVER)] = True
-    need = np.zeros(len(pad), bool)
-    for d in range(V):
-        at = start + d
-        need[at[cover[at % V]]] = True
-    # names of size bytes at the sample, by doubling within residue classes; the last step overlaps
     steps, s = [], V
     while s < size:
         jump = min(s, size - s)
@@ -168,38 +170,74 @@ def repeated(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
         steps.append((s, jump))
         s += jump
     tail = size - s
-    sample = need.copy()
+    sample = wanted.copy()
     for _, jump in reversed(steps):
         sample[jump:] |= sample[:-jump]
     pos = np.flatnonzero(sample)
-    index = np.zeros(len(pad), np.int64)
+    index = np.zeros(len(data), np.int64)
     index[pos] = np.arange(len(pos))
-    inside = pos + V <= len(pad)
-    at = np.where(inside, pos, 0)
-    name = rank([packed(pad, at, 7), packed(pad, at + 7, V - 7)])
+    at = np.where(pos + V <= len(data), pos, 0)
+    name = rank([packed(data, at, 7), packed(data, at + 7, V - 7)])
     for _, jump in steps:
-        to = np.minimum(pos + jump, len(pad) - 1)
-        both = name * (int(name.max()) + 1) + name[index[to]]
-        name = rank([both])
+        to = np.minimum(pos + jump, len(data) - 1)
+        name = rank([name * (int(name.max()) + 1) + name[index[to]]])
     if tail:
-        end = np.minimum(pos + s, len(pad) - 8)
-        name = rank([name, packed(pad, end, min(tail, 7)), packed(pad, np.minimum(end + 7, len(pad) - 8), max(tail - 7, 0))])
-    tie = rank([packed(pad, start, 7), packed(pad, start + 7, V - 7), packed(pad, start + length - V, 7), packed(pad, start + length - V + 7, V - 7)])
-    out = np.zeros(len(start), bool)
-    wide = int(name.max(initial=0)) + 1
+        end = np.minimum(pos + s, len(data) - 8)
+        name = rank([name, packed(data, end, min(tail, 7)), packed(data, np.minimum(end + 7, len(data) - 8), max(tail - 7, 0))])
+    return name, index
+
+
+def suffix_order(data: np.ndarray, start: np.ndarray, length: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the suffixes at ``start``: how many are less by their first ``length`` bytes, and what those equal to it weigh.
+
+    ``data`` must go on for at least ``length`` bytes from every start.
+    """
+    n = len(start)
+    weight = np.ones(n, np.int64) if weight is None else weight
+    pad = np.concatenate([data, np.zeros(2 * length, np.uint8)])
+    cover = np.zeros(V, bool)
+    cover[list(COVER)] = True
+    wanted = np.zeros(len(pad), bool)
     for d in range(V):
         at = start + d
-        mine = np.flatnonzero(cover[at % V])
+        wanted[at[cover[at % V]]] = True
+    name, index = names(pad, wanted, length - V + 1)
+    head = rank([packed(pad, start, 7), packed(pad, start + 7, V - 7)])
+    last = rank([packed(pad, start + length - V, 7), packed(pad, start + length - 7, 7)])
+    wide = int(name.max(initial=0)) + 1
+    less, equal = np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def place(mine: np.ndarray, d: int, times: int) -> None:
+        """Adds the places of some suffixes among each other, ``times`` over."""
         if not len(mine):
-            continue
-        k = tie[mine] * wide + name[index[at[mine]]]
-        order = np.argsort(k, kind="stable")
-        same = k[order][1:] == k[order][:-1]
-        hit = np.zeros(len(mine), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        out[mine[hit]] = True
-    return out
+            return
+        key, end = head[mine] * wide + name[index[start[mine] + d]], last[mine]
+        order = np.argsort(key)
+        k, e = key[order], end[order]
+        same = k[1:] == k[:-1]
+        if (e[1:] != e[:-1])[same].any():  # the name leaves out the last bytes, and here they differ
+            key = _dense(key) * (n + 1) + end
+            order = np.argsort(key)
+            k = key[order]
+            same = k[1:] == k[:-1]
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        group = np.cumsum(np.concatenate([[0], ~same]))
+        at = mine[order]
+        less[at] += times * first[group]
+        equal[at] += times * np.add.reduceat(weight[at], first)[group]
+
+    residue = start % V
+    for d in range(V):
+        place(np.flatnonzero(cover[(residue + d) % V]), d, 1)
+    # a suffix has met each other residue once, and its own as often as the cover has elements
+    for r in range(V):
+        place(np.flatnonzero(residue == r), next(d for d in range(V) if cover[(r + d) % V]), 1 - len(COVER))
+    return less, equal
+
+
+def repeated(data: np.ndarray, start: np.ndarray, length: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ``length`` bytes from each start also stand at another of the starts, or weigh more than one."""
+    return suffix_order(data, start, length, weight)[1] > 1
 
 
 def spans(start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +249,12 @@ def spans(start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return start[cut], start[last] + length
 
 
+FOUND = "bucket long, content long, n long, doc_id long, key long, start int, end int"
+
+
 def _sort_block(length: int):
+    """The spans of a block's runs that repeat."""
+
     def go(t: pa.Table) -> pa.Table:
         data, off = textkit.buffers(t.column("bytes").combine_chunks().cast(pa.binary()))
         # buckets can't share a string, so one block sorts many of them together
@@ -219,16 +262,15 @@ def _sort_block(length: int):
         first = np.concatenate([[0], np.cumsum(count)[:-1]])
         local = np.arange(int(count.sum())) - np.repeat(first, count)
         start = local + np.repeat(off[:-1], count)
-        hit = repeated(data, start, length)
-        doc, key, at, n = (t.column(c).to_pylist() for c in ("doc_id", "key", "first", "n"))
+        weight = t.column("n").to_numpy()
+        hit = repeated(data, start, length, np.repeat(weight, count))
+        at = t.column("first").to_numpy()
         rows: list[tuple] = []
         for i in range(len(count)):
-            if n[i] > 1:
-                continue  # a run with copies is settled already
             a, z = spans(np.flatnonzero(hit[first[i] : first[i] + count[i]]) + at[i], length)
-            rows += [(doc[i], key[i], int(x), int(y)) for x, y in zip(a, z, strict=True)]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.table({c: pa.array(v, ty) for c, v, ty in zip(("doc_id", "key", "start", "end"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
+            rows += [(i, int(x), int(y)) for x, y in zip(a, z, strict=True)]
+        own, a, z = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 3
+        return pa.table([*[t.column(c).take(pa.array(own)) for c in ("bucket", "content", "n", "doc_id", "key")], pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["bucket", "content", "n", "doc_id", "key", "start", "end"])
 
     return go
 
@@ -279,24 +321,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
     stats = found.groupBy("bucket", "content").agg(F.count(F.lit(1)).alias("n"), F.max("recurs").alias("recurs"), F.min(F.struct("doc_id", "key", "first", "last")).alias("at"))
     stats = materialize(stats, "sd-stats")
     span = F.col("at.last") - F.col("at.first") + length
-    buckets = stats.groupBy("bucket").agg(F.count(F.lit(1)).alias("distinct"), F.max("recurs").alias("recurs"), F.min("n").alias("least"), F.sum(span.cast("long")).alias("size"))
-    # open: other runs of the bucket, or the run itself, may hold the string again; all-copied buckets are settled
-    open_ = buckets.where((F.col("least") == 1) & ((F.col("distinct") > 1) | F.col("recurs"))).select("bucket", (F.col("size") > block).alias("huge"), "size")
-    reps = materialize(stats.join(open_, "bucket").select("bucket", "n", "huge", "size", "at.*"), "sd-open")
+    buckets = stats.groupBy("bucket").agg(F.count(F.lit(1)).alias("distinct"), F.max("recurs").alias("recurs"), F.max("n").alias("most"), F.sum(span.cast("long")).alias("size"))
+    # a single run without its least gram twice holds no two equal strings
+    open_ = buckets.where((F.col("distinct") > 1) | F.col("recurs")).select("bucket", (F.col("size") > block).alias("huge"))
+    lone = buckets.where((F.col("distinct") == 1) & ~F.col("recurs") & (F.col("most") > 1)).select("bucket")
+    reps = materialize(stats.join(open_, "bucket").select("bucket", "content", "n", "huge", "at.*"), "sd-open")
     total = reps.where("NOT huge").agg(F.sum(F.col("last") - F.col("first") + length)).first()[0] or 0
-    wanted = reps.groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "first", "last", "n")).alias("want"))
-    cut = docs.join(wanted, ["doc_id", "key"]).mapInArrow(_cut_texts(length), "bucket long, doc_id long, key long, first int, n long, bytes binary")
+    wanted = reps.groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "content", "first", "last", "n")).alias("want"))
+    cut = docs.join(wanted, ["doc_id", "key"]).mapInArrow(_cut_texts(length), "bucket long, content long, doc_id long, key long, first int, n long, bytes binary")
     cut = materialize(cut.dropDuplicates(["doc_id", "key", "first"]), "sd-cut")
     huge = reps.where("huge").select("bucket").distinct()
     groups = max(1, -(-int(total) // block))
     small = cut.join(huge, "bucket", "left_anti").withColumn("g", F.pmod(F.xxhash64("bucket"), F.lit(groups)))
-    sorted_ = small.groupBy("g").applyInArrow(_sort_block(length), "doc_id long, key long, start int, end int")
+    sorted_ = materialize(small.groupBy("g").applyInArrow(_sort_block(length), FOUND), "sd-sorted")
     each = materialize(cut.join(huge, "bucket", "left_semi").mapInArrow(_one_each(length), "doc_id long, key long, start int, n long, suffix binary"), "sd-each")
     twice = each.groupBy("suffix").agg(F.sum("n").alias("k")).where("k > 1").select("suffix")
     split = each.where("n = 1").join(twice, "suffix", "left_semi").select("doc_id", "key", "start", (F.col("start") + length).alias("end"))
-    copies = stats.where("n > 1").select("bucket", "content")
+    # a run that weighs more than one repeats from end to end, at every place where it stands
+    copies = sorted_.where("n > 1").select("bucket", "content").unionByName(reps.where("huge AND n > 1").select("bucket", "content")).unionByName(stats.join(lone, "bucket").select("bucket", "content")).distinct()
     whole = found.join(copies, ["bucket", "content"]).select("doc_id", "key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    return sorted_.unionByName(split).unionByName(whole)
+    return sorted_.where("n = 1").select("doc_id", "key", "start", "end").unionByName(split).unionByName(whole)
 
 
 def run(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
