@@ -68,7 +68,6 @@ ROLES = "no-?reply|do-?not-?reply|mailer-daemon|postmaster|webmaster|hostmaster|
 RESERVED = r"^0*(?:0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^169\.254\."
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6[0245])"
 CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[789][0-9]|8[0578][0-9]|9[679][0-9])"
-AREAS = r"^\(?[2-9](?!11)[0-8][0-9]"
 TOLL_FREE = r"^\(?(?:800|822|833|844|855|866|877|888|900)"
 KEY_PREFIXES = r"^(?:gh[pousr]_|github_pat_|glpat|sk_live_|sk_test_|pk_live_|AKIA|ASIA|xox[abp]|AIza)"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -78,6 +77,9 @@ LABELERS = ("form", "gazetteer", "cue", "frame")
 FEATURES = {"size": 3, "digits": 3, "variety": 2}
 ACCEPT = 0.6
 EM_STEPS = 60
+#: how reliable the labelers are taken to be at first (a checksum more than a list), and how many votes that counts as
+TRUST = (0.9, 0.75, 0.85, 0.75)
+STRENGTH = 10
 #: matches whose places are summed together
 RUN = 64
 
@@ -128,7 +130,7 @@ def gazetteer(kind: str, m: Column) -> Column:
         "ip": lambda: vote(m.rlike(r"^0*[1-9]"), m.rlike(RESERVED)),
         "card": lambda: vote(m.rlike(ISSUERS), ~m.rlike(ISSUERS)),
         "phone": lambda: vote(digits(m).rlike(CALLING), ~digits(m).rlike(CALLING)),
-        "national": lambda: vote(m.rlike(AREAS), m.rlike(TOLL_FREE)),
+        "national": lambda: vote(None, m.rlike(TOLL_FREE)),
         "ssn": lambda: vote(None, m.isin("078-05-1120", "219-09-9999")),
         "secret": lambda: vote(m.rlike(KEY_PREFIXES), None),
     }
@@ -194,14 +196,17 @@ def matches(text: Column, kind: str) -> Column:
 
 
 def candidates(docs: DataFrame, *keep: str) -> DataFrame:
-    """``spans``: every candidate of a row with its kind's rank and votes, in order of start and kind."""
+    """``spans``: every candidate of a row with its kind's rank and votes, in order of start and kind. What overlaps
+    a base span is part of that, such as the national number in an international one, and no candidate."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(*[F.col(c) for c in keep], text.alias("__text"))
     some = F.col("__text").rlike("[0-9@]|[A-Za-z0-9_]{32}")
     for kind in PATTERNS:
         slim = slim.withColumn(f"__{kind}", F.when(some, matches(F.col("__text"), kind)))
     tagged = [F.transform(F.coalesce(F.col(f"__{kind}"), F.array().cast(slim.schema[f"__{kind}"].dataType)), _tag(kind)) for kind in PATTERNS]
-    return slim.select(*keep, F.array_sort(F.concat(*tagged)).alias("spans"))
+    rows = slim.select(*keep, F.array_sort(F.concat(*tagged)).alias("spans")).withColumn("__base", F.filter("spans", lambda s: s["base"]))
+    apart = F.filter("spans", lambda s: s["base"] | ~F.exists("__base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+    return rows.select(*keep, F.when(F.size("__base") > 0, apart).otherwise(F.col("spans")).alias("spans"))
 
 
 def _tag(kind: str):
@@ -211,25 +216,32 @@ def _tag(kind: str):
 def aggregate_votes(patterns: list[tuple[int, tuple[int, ...], int]]) -> tuple[dict, dict[str, list[float]]]:
     """Posterior of each (kind, votes) pattern, and each labeler's accuracy when it votes.
 
-    Two-class EM with one accuracy per labeler and one prior per kind, from accuracies of 0.8 that count
-    as ten votes each.
+    Two-class EM with a prior per kind and, per kind and labeler, how often its vote on a true and on a false
+    candidate is 1. They start from ``TRUST``, which counts as ``STRENGTH`` votes.
     """
-    right = [0.8] * len(LABELERS)
-    prior = {k: 0.5 for k, _, _ in patterns}
+    kinds = sorted({k for k, _, _ in patterns})
+    rate = {(j, k): (t, 1 - t) for j, t in enumerate(TRUST) for k in kinds}
+    prior = dict.fromkeys(kinds, 0.5)
     post: dict = {}
     for _ in range(EM_STEPS):
         for k, v, _ in patterns:
             a = math.log(prior[k] / (1 - prior[k]))
-            for x, r in zip(v, right, strict=True):
-                a += x * math.log(r / (1 - r))
-            post[k, v] = 1 / (1 + math.exp(-a))
-        for j in range(len(LABELERS)):
-            good = sum(n * (post[k, v] if v[j] > 0 else 1 - post[k, v]) for k, v, n in patterns if v[j])
-            every = sum(n for _, v, n in patterns if v[j])
-            right[j] = (good + 8) / (every + 10)
-        for k in prior:
-            mine = [(post[k2, v], n) for k2, v, n in patterns if k2 == k]
-            prior[k] = min(0.95, max(0.05, (sum(p * n for p, n in mine) + 1) / (sum(n for _, n in mine) + 2)))
+            for j, x in enumerate(v):
+                if x:
+                    p, q = rate[j, k]
+                    a += math.log(p / q) if x > 0 else math.log((1 - p) / (1 - q))
+            post[k, v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, a))))
+        for k in kinds:
+            mine = [(v, post[k, v], n) for k2, v, n in patterns if k2 == k]
+            prior[k] = min(0.95, max(0.05, (sum(p * n for _, p, n in mine) + 1) / (sum(n for _, _, n in mine) + 2)))
+            for j, t in enumerate(TRUST):
+                voted = [(v[j] > 0, p, n) for v, p, n in mine if v[j]]
+                true, false = sum(p * n for _, p, n in voted), sum((1 - p) * n for _, p, n in voted)
+                rate[j, k] = ((sum(p * n for up, p, n in voted if up) + STRENGTH * t) / (true + STRENGTH), (sum((1 - p) * n for up, p, n in voted if up) + STRENGTH * (1 - t)) / (false + STRENGTH))
+    right = []
+    for j, t in enumerate(TRUST):
+        good = sum(n * (post[k, v] if v[j] > 0 else 1 - post[k, v]) for k, v, n in patterns if v[j])
+        right.append((good + STRENGTH * t) / (sum(n for _, v, n in patterns if v[j]) + STRENGTH))
     return post, {"accuracy": right}
 
 
@@ -297,7 +309,6 @@ def decide(rows: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     more = F.filter("spans", lambda s: ~s["base"] & (probability(w, s) >= ACCEPT))
     rows = rows.withColumn("base", base).withColumn("more", more)
-    rows = rows.withColumn("more", F.filter("more", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))))
     nothing = F.struct(F.lit(0).alias("at"), F.filter("more", lambda s: F.lit(False)).alias("kept"))
     apart = F.aggregate("more", nothing, lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["kept"], F.array(s)).alias("kept"))).otherwise(a))["kept"]
     rows = rows.withColumn("more", F.when(F.size("more") > 1, apart).otherwise(F.col("more")))
