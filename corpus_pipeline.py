@@ -2,7 +2,11 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame over all its predecessor kept. All but the
 last return the columns of ``documents``; the last returns the placed pieces of every document left.
-Null texts carry no letter, so the first stage drops them; an empty table passes through as empty.
+Defined cases: null texts and those without a letter go in the first stage; repeated rows count as one
+document from the second on, unrelated texts under one id (or none) all stay; of near duplicates the one
+of the smallest id stays, of several under it the one whose text hashes lower; texts of any length are read
+whole; columns beside those of ``documents``, whatever their names, pass through every stage but the last;
+an empty table, or an empty benchmark, passes through.
 """
 
 from __future__ import annotations
