@@ -18,8 +18,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: texts may hold 100 kB each, so batches stay small.
-ARROW_ROWS = "512"
+#: Rows per Arrow batch: texts may hold 100 kB each and numpy some tens of bytes for each of theirs, so batches stay small.
+ARROW_ROWS = "256"
 _scratch: set[str] = set()
 
 
