@@ -482,11 +482,14 @@ def components(docs: DataFrame, percent: int = PERCENT, *keep: str) -> DataFrame
     while turn <= STAR_ROUNDS:
         met = _star_round(short, labels, turn, percent) if turn < STAR_ROUNDS else _last_round(held, labels, percent)
         fresh = _untried(met, tried)
-        pairs = _probed(fresh, held, percent)
-        links = _links(pairs, docs, classes, percent)
-        before, labels = labels, _propagate(links, labels)
-        tried.append(pairs)
-        discard(met, links, *([fresh] if fresh is not met else []))
+        before = labels
+        if not fresh.isEmpty():
+            pairs = _probed(fresh, held, percent)
+            links = _links(pairs, docs, classes, percent)
+            labels = _propagate(links, labels)
+            tried.append(pairs)
+            discard(links)
+        discard(met, *([fresh] if fresh is not met else []))
         turn = STAR_ROUNDS if labels is before and turn < STAR_ROUNDS else turn + 1  # stars that join nothing give way to the last round
     root = classes.withColumn("comp", F.col("cid")) if labels is None else classes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     first = root.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -1,5 +1,6 @@
 """Near duplicates and repeated strings against brute force."""
 
+import bisect
 import collections
 import hashlib
 import random
@@ -121,20 +122,21 @@ def counted(monkeypatch):
     return rows
 
 
-@pytest.mark.parametrize("edits", [1, 9])
-def test_a_group_makes_rows_in_proportion(spark, monkeypatch, edits):
-    """Twice the members of a group, linked (1 edit) or not (9), make about twice the candidates, not four times."""
+def test_groups_make_rows_in_proportion(spark, monkeypatch):
+    """Twice the members of a linked group (1 edit) and of one that is not (9) make about twice the candidates, not four times."""
     rows = counted(monkeypatch)
     made = []
-    for k in (100, 200):
+    for k in (80, 160):
         rng = random.Random(3)
-        base = [f"h{i}" for i in range(200)]
-        texts = [" ".join(base)]
-        for i in range(k):
-            w = list(base)
-            for e in range(edits):
-                w[rng.randrange(200)] = f"x{i}e{e}"
-            texts.append(" ".join(w))
+        texts = []
+        for edits in (1, 9):
+            base = [f"h{edits}x{i}" for i in range(200)]
+            texts.append(" ".join(base))
+            for i in range(k):
+                w = list(base)
+                for e in range(edits):
+                    w[rng.randrange(200)] = f"x{i}e{e}of{edits}"
+                texts.append(" ".join(w))
         rows.clear()
         check(spark, texts)
         made.append(rows["nd-met"] + rows["nd-stars"] + rows["nd-mixed"])
@@ -143,11 +145,12 @@ def test_a_group_makes_rows_in_proportion(spark, monkeypatch, edits):
 
 def test_scratch_is_removed(spark, docs):
     """What is left is only what the result still reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(common.scratch(spark))
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: {s.getPath().getName() for s in system.listStatus(path)} if system.exists(path) else set()
+    before = names()
     near_dup.run(docs).count()
-    spark_dir = common.scratch(spark)
-    path = spark._jvm.org.apache.hadoop.fs.Path(spark_dir)
-    names = {s.getPath().getName().rsplit("-", 1)[0] for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
-    assert {n for n in names if n.startswith("nd-")} == {"nd-sets", "nd-named"}
+    assert {n.rsplit("-", 1)[0] for n in names() - before} == {"nd-sets", "nd-named"}
 
 
 def test_divide_skip_is_exact():
@@ -203,7 +206,25 @@ def test_cover_sample_ranks_decide_all_ties():
         assert suffix_dedup.repeated(data, start, length).tolist() == want
 
 
+def test_suffix_order_is_the_lexicographic_one():
+    """Places and weights of all suffixes, long ties included, are those of sorting the strings."""
+    rng = np.random.default_rng(5)
+    for length in (26, 40, 133):
+        unit = rng.integers(0, 3, 300).astype(np.uint8)
+        data = np.concatenate([unit, np.tile(unit[:5], 60), unit, rng.integers(0, 256, 90).astype(np.uint8), unit[: length + 9], np.full(length + 30, 255, np.uint8)])
+        start = rng.permutation(len(data) - length + 1)[:500]
+        weight = rng.integers(1, 4, len(start))
+        less, equal = suffix_dedup.suffix_order(data, start, length, weight)
+        text = [data[i : i + length].tobytes() for i in start]
+        ordered = sorted(text)
+        assert less.tolist() == [bisect.bisect_left(ordered, t) for t in text]
+        total = collections.Counter()
+        for t, w in zip(text, weight.tolist(), strict=True):
+            total[t] += w
+        assert equal.tolist() == [total[t] for t in text]
+
+
 def test_every_distance_is_a_difference_of_the_cover():
     v, d = suffix_dedup.V, suffix_dedup.COVER
-    assert {(a - b) % v for a in d for b in d} == set(range(v))
+    assert sorted((a - b) % v for a in d for b in d if a != b) == list(range(1, v)), "each exactly once"
     assert prose(random.Random(0), 3)
